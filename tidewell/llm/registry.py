@@ -1,9 +1,11 @@
 """The corpus operators' queries, by the names the driver uses, and their SQL where SQL can say the same."""
 
-from tidewell.llm import language_id
+from tidewell.llm import language_id, quality, toxicity
 
 QUERIES = {
     "op3_language_id": language_id.query,
+    "op7_toxicity": toxicity.query,
+    "op10_quality": quality.query,
 }
 SQL: dict[str, str] = {}
 
