@@ -1,9 +1,10 @@
 """The corpus operators' queries, by the names the driver uses, and their SQL where SQL can say the same."""
 
-from tidewell.llm import language_id, quality, toxicity
+from tidewell.llm import language_id, packing, quality, toxicity
 
 QUERIES = {
     "op3_language_id": language_id.query,
+    "op6_best_fit_packing": packing.query,
     "op7_toxicity": toxicity.query,
     "op10_quality": quality.query,
 }
