@@ -1,12 +1,13 @@
 """The corpus operators' queries, by the names the driver uses, and their SQL where SQL can say the same."""
 
-from tidewell.llm import language_id, near_dedup, packing, quality, toxicity
+from tidewell.llm import language_id, near_dedup, packing, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op3_language_id": language_id.query,
     "op6_best_fit_packing": packing.query,
     "op7_toxicity": toxicity.query,
     "op8_minhash_near_dedup": near_dedup.query,
+    "op9_suffix_array_dedup": substring_dedup.query,
     "op10_quality": quality.query,
 }
 SQL: dict[str, str] = {}
