@@ -1,16 +1,18 @@
 """The corpus operators' queries, by the names the driver uses, and their SQL where SQL can say the same."""
 
-from tidewell.llm import language_id, near_dedup, packing, quality, substring_dedup, toxicity
+from tidewell.llm import language_id, mixing, near_dedup, packing, quality, substring_dedup, topk, toxicity
 
 QUERIES = {
+    "op1_mix_sources": mixing.query,
     "op3_language_id": language_id.query,
+    "op4_exact_top_k": topk.query,
     "op6_best_fit_packing": packing.query,
     "op7_toxicity": toxicity.query,
     "op8_minhash_near_dedup": near_dedup.query,
     "op9_suffix_array_dedup": substring_dedup.query,
     "op10_quality": quality.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_exact_top_k": topk.SQL}
 
 
 def queries() -> dict:
