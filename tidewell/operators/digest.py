@@ -94,7 +94,7 @@ def cdf(d: Digest, x, compat: bool = False) -> np.ndarray:
         i = np.searchsorted(d.means, x, side="left").clip(1, n - 1)
         a, b = d.means[i - 1], d.means[i]
         width = np.where(b > a, b - a, 1.0)
-        inner = np.where(b > a, (i - 0.5 + (b - x) / width - 0.5) / n, i / n)
+        inner = np.where(b > a, (i + (b - x) / width) / n, i / n)
         out = np.where(x <= d.low, 0.0, np.where(x >= d.high, 1.0, inner))
     else:
         middle = (np.cumsum(d.weights) - d.weights / 2) / total
