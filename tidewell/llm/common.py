@@ -27,11 +27,25 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
+    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation.
+
+    The shuffle files of what was written are then of no use; a garbage collection on the driver lets Spark delete them.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tidewell-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidewell_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._tidewell_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def id_mod(doc_id: Column, n: int) -> Column:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, table
+from tidewell.llm.common import discard, materialize, table
 from tidewell.llm.suffixes import agree, suffix_order
 
 GRAM = 24
@@ -125,8 +125,7 @@ def cut_out(texts: DataFrame, wanted: DataFrame, length: int, single: bool) -> D
             yield pd.DataFrame(out, columns=["h", "s1", "s2", "doc_id", "v", "lo", "hi", "s"])
 
     per = wanted.groupBy("v").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("parts"))
-    least = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
-    return texts.select("v", least.alias("doc_id"), "text").join(per, "v").mapInPandas(run, "h long, s1 long, s2 long, doc_id long, v long, lo long, hi long, s binary")
+    return texts.join(per, "v").select("v", "doc_id", "text", "parts").mapInPandas(run, "h long, s1 long, s2 long, doc_id long, v long, lo long, hi long, s binary")
 
 
 def repeats(found: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -174,9 +173,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataF
     often = grams.groupBy("h").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("h")
     wanted = materialize(grams.join(often, "h").select("v", "h", "lo", "hi"))
     need = heads.join(wanted.select("v").distinct(), "v", "left_semi").select("v", "doc_id", "th", "t2")
-    d = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("x"), "text")
-    texts = d.join(need, d["d"].eqNullSafe(need["doc_id"]) & (d["x"] == need["th"])).select("v", "doc_id", "text").where("text is not null")
-    texts = materialize(texts)
+    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc_id")
+    d = docs.where("text is not null").select(least, F.xxhash64("text").alias("th"), "text")
+    # rows alike in id and text are the same key: one is taken
+    texts = d.join(need.select("v", least, "th"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    texts = materialize(texts.select("v", "doc_id", "text"))
 
     def collapse(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of spans of equal content the first; and the others."""
@@ -184,7 +185,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataF
         least = narrow.groupBy("h", "s1", "s2").agg(F.min("o").alias("f"))
         others = narrow.join(least, ["h", "s1", "s2"]).where("o != f").select("o.v", "o.lo", "hi")
         mine = least.select(F.col("h"), F.col("f.v").alias("v"), F.col("f.lo").alias("lo"))
-        return cut.join(mine.distinct(), ["h", "v", "lo"]).dropDuplicates(["h", "v", "lo"]), others
+        return cut.join(mine, ["h", "v", "lo"]), others
 
     cut = materialize(cut_out(texts, wanted, length, False))
     own, others = collapse(cut)
@@ -196,7 +197,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataF
     deal = own.join(many, "h", "left_anti").withColumn("sub", F.lit(0).cast("long")).unionByName(window.withColumn("sub", F.col("s1")))
     deal = materialize(deal)
     buckets = int(max(1, (deal.agg(F.sum(F.length("s"))).first()[0] or 0) // BUCKET + 1))
-    hits = repeats(deal, length, buckets).unionByName(others).unionByName(late)
+    hits = materialize(repeats(deal, length, buckets).unionByName(others).unionByName(late))
+    discard(wanted, cut, own, many, windows, deal)
     size = length
     cuts = hits.select("v", "lo", (F.col("hi") + size).alias("end")).groupBy("v").agg(F.collect_list(F.struct("lo", "end")).alias("cuts"))
 
@@ -218,7 +220,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataF
                 out.append((v, gone, n, kept.hexdigest()))
             yield pd.DataFrame(out, columns=["v", "gone", "spans", "kept"])
 
-    edited = texts.join(cuts, "v").mapInPandas(apply, "v long, gone long, spans long, kept string").dropDuplicates(["v"])
+    edited = texts.join(cuts, "v").mapInPandas(apply, "v long, gone long, spans long, kept string")
     out = heads.join(firsts.withColumn("is_first", F.lit(True)), "v", "left").join(edited, "v", "left")
     whole = F.col("is_first").isNull() & (F.col("n") >= length)  # an earlier row has the same text
     return out.select(
