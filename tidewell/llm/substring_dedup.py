@@ -103,33 +103,57 @@ def rows(docs: DataFrame, length: int) -> DataFrame:
     return picked.mapInPandas(run, "v long, doc_id long, th long, t2 long, n long, sha string, h array<long>, lo array<long>, hi array<long>, twice array<boolean>")
 
 
-def cut_out(texts: DataFrame, wanted: DataFrame, length: int, single: bool) -> DataFrame:
-    """The wanted spans' bytes and their 128-bit hash; with `single`, of each window by itself."""
+def per_text(texts: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """texts (v, doc_id, text) that have wanted spans, with these in `parts`."""
+    return texts.join(wanted.groupBy("v").agg(F.collect_list(F.struct(*columns)).alias("parts")), "v").select("v", "doc_id", "text", "parts")
+
+
+def contents(texts: DataFrame, wanted: DataFrame, length: int, single: bool) -> DataFrame:
+    """The 128-bit hash s1, s2 of each wanted span's bytes; with `single`, of each window in it by itself."""
     size, alone = length, single
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        names, out = ["h", "s1", "s2", "doc_id", "v", "lo", "hi"], []
         for b in batches:
-            out = []
             for v, doc_id, text, parts in zip(b["v"], b["doc_id"], b["text"], b["parts"]):
                 raw = text.encode("utf-8", "replace")
                 for p in parts:
                     for lo, hi in ((k, k) for k in range(p["lo"], p["hi"] + 1)) if alone else ((p["lo"], p["hi"]),):
-                        s = raw[lo : hi + size]
-                        d = xxhash.xxh3_128_digest(s)
-                        out.append((p["h"], int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc_id, v, lo, hi, s))
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["h", "s1", "s2", "doc_id", "v", "lo", "hi", "s"])
+                        d = xxhash.xxh3_128_digest(raw[lo : hi + size])
+                        out.append((p["h"], int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc_id, v, lo, hi))
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=names)
                     out = []
-            yield pd.DataFrame(out, columns=["h", "s1", "s2", "doc_id", "v", "lo", "hi", "s"])
+        yield pd.DataFrame(out, columns=names)
+
+    return per_text(texts, wanted, ["h", "lo", "hi"]).mapInPandas(run, "h long, s1 long, s2 long, doc_id long, v long, lo long, hi long")
+
+
+def cut_out(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The bytes s of each wanted span, with the bucket it is dealt to."""
+    size = length
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, out, held = ["bucket", "doc_id", "v", "lo", "s"], [], 0
+        for b in batches:
+            for v, doc_id, text, parts in zip(b["v"], b["doc_id"], b["text"], b["parts"]):
+                raw = text.encode("utf-8", "replace")
+                for p in parts:
+                    s = raw[p["lo"] : p["hi"] + size]
+                    held += len(s)
+                    out.append((p["bucket"], doc_id, v, p["lo"], s))
+                if held > 4_000_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+        yield pd.DataFrame(out, columns=names)
 
-    per = wanted.groupBy("v").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("parts"))
-    return texts.join(per, "v").select("v", "doc_id", "text", "parts").mapInPandas(run, "h long, s1 long, s2 long, doc_id long, v long, lo long, hi long, s binary")
+    return per_text(texts, wanted, ["bucket", "lo", "hi"]).mapInPandas(run, "bucket long, doc_id long, v long, lo long, s binary")
 
 
-def repeats(found: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(v, lo, hi): starts of windows that an earlier one equals, among spans of different content."""
+def repeats(dealt: DataFrame, length: int) -> DataFrame:
+    """(v, lo, hi): starts of windows that an earlier one equals, among spans (bucket, doc_id, v, lo, s)."""
     size = length
 
     def run(key, b: pd.DataFrame) -> pd.DataFrame:
@@ -158,47 +182,49 @@ def repeats(found: DataFrame, length: int, buckets: int) -> DataFrame:
         last = np.append(edge[1:], len(at)) - 1
         return pd.DataFrame({"v": v[edge], "lo": at[edge], "hi": at[last]})
 
-    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("h", "sub"), F.lit(buckets)))
-    return dealt.select("bucket", "doc_id", "v", "lo", "s").groupBy("bucket").applyInPandas(run, "v long, lo long, hi long")
+    return dealt.groupBy("bucket").applyInPandas(run, "v long, lo long, hi long")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs(doc_id, text)."""
     sig = materialize(rows(docs, length))
-    heads = sig.select("v", "doc_id", "th", "t2", "n", "sha")
+    heads = materialize(sig.select("v", "doc_id", "th", "t2", "n", "sha"))
     first = heads.groupBy("th", "t2", "n").agg(F.min(F.struct("doc_id", "v")).alias("f")).select("th", "t2", "n", F.col("f.v").alias("v"))
     firsts = materialize(first.select("v"))
     grams = sig.where(f"n >= {length}").join(firsts, "v", "left_semi")
     grams = grams.select("v", F.explode(F.arrays_zip("h", "lo", "hi", "twice")).alias("g")).select("v", "g.*")
     often = grams.groupBy("h").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("h")
+    often = materialize(often)
     wanted = materialize(grams.join(often, "h").select("v", "h", "lo", "hi"))
-    need = heads.join(wanted.select("v").distinct(), "v", "left_semi").select("v", "doc_id", "th", "t2")
+    discard(sig, often)
     least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc_id")
+    need = heads.join(wanted.select("v").distinct(), "v", "left_semi").select("v", least, "th")
     d = docs.where("text is not null").select(least, F.xxhash64("text").alias("th"), "text")
     # rows alike in id and text are the same key: one is taken
-    texts = d.join(need.select("v", least, "th"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    texts = d.join(need, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     texts = materialize(texts.select("v", "doc_id", "text"))
 
-    def collapse(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def collapse(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of spans of equal content the first; and the others."""
-        narrow = cut.select("h", "s1", "s2", F.struct("doc_id", "v", "lo").alias("o"), "hi")
-        least = narrow.groupBy("h", "s1", "s2").agg(F.min("o").alias("f"))
-        others = narrow.join(least, ["h", "s1", "s2"]).where("o != f").select("o.v", "o.lo", "hi")
-        mine = least.select(F.col("h"), F.col("f.v").alias("v"), F.col("f.lo").alias("lo"))
-        return cut.join(mine, ["h", "v", "lo"]), others
-
-    cut = materialize(cut_out(texts, wanted, length, False))
-    own, others = collapse(cut)
-    own = materialize(own)
+        each = found.select("h", "s1", "s2", F.struct("doc_id", "v", "lo").alias("o"), "hi")
+        least = materialize(each.groupBy("h", "s1", "s2").agg(F.min(F.struct("o", "hi")).alias("f")))
+        others = each.join(least, ["h", "s1", "s2"]).where("o != f.o").select("o.v", "o.lo", "hi")
+        return least.select("h", "s1", F.col("f.o.v").alias("v"), F.col("f.o.lo").alias("lo"), F.col("f.hi").alias("hi")), materialize(others)
+
+    spans_ = materialize(contents(texts, wanted, length, False))
+    discard(wanted)
+    own, others = collapse(spans_)
+    discard(spans_)
     many = materialize(own.groupBy("h").agg(F.count("*").alias("c")).where(f"c > {hot}").select("h"))
     # of the hot hashes, every different span's windows by themselves
-    windows = materialize(cut_out(texts, own.join(many, "h", "left_semi").select("v", "h", "lo", "hi"), length, True))
+    windows = materialize(contents(texts, own.join(many, "h", "left_semi").select("v", "h", "lo", "hi"), length, True))
     window, late = collapse(windows)
+    discard(windows)
     deal = own.join(many, "h", "left_anti").withColumn("sub", F.lit(0).cast("long")).unionByName(window.withColumn("sub", F.col("s1")))
-    deal = materialize(deal)
-    buckets = int(max(1, (deal.agg(F.sum(F.length("s"))).first()[0] or 0) // BUCKET + 1))
-    hits = materialize(repeats(deal, length, buckets).unionByName(others).unionByName(late))
-    discard(wanted, cut, own, many, windows, deal)
+    total = deal.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("h", "sub"), F.lit(int(total // BUCKET + 1)))
+    hits = materialize(repeats(cut_out(texts, deal.select("v", bucket.alias("bucket"), "lo", "hi"), length), length).unionByName(others).unionByName(late))
+    discard(others, late, many)
     size = length
     cuts = hits.select("v", "lo", (F.col("hi") + size).alias("end")).groupBy("v").agg(F.collect_list(F.struct("lo", "end")).alias("cuts"))
 
