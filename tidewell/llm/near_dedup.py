@@ -138,7 +138,7 @@ def link(docs: DataFrame, k: int = 2, percent: int = 80, tables: int = TABLES, r
         at_most = open_.groupBy("key").agg(F.count("*").alias("c")).agg(F.sum(F.expr("c * (c - 1) / 2")).alias("s"), F.sum("c").alias("c")).first()
         if not at_most["c"]:
             break
-        last = at_most["s"] <= 4 * at_most["c"] or salt > 4
+        last = at_most["s"] <= 16 * at_most["c"] or salt > 1
         if last:
             left = open_.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa") if parts is not None else F.col("v").alias("pa"))
             right = open_.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb") if parts is not None else F.col("v").alias("pb"))
@@ -149,7 +149,9 @@ def link(docs: DataFrame, k: int = 2, percent: int = 80, tables: int = TABLES, r
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         judged = materialize(similar_pairs(pairs, sets, percent))
         seen = judged if seen is None else seen.unionAll(judged)
-        parts = components(seen.where("linked").select("a", "b"))
+        # what is already known to hang together goes in as one star a component, not by all its links
+        links = judged.where("linked").select("a", "b")
+        parts = components(links if parts is None else links.unionAll(parts.select(F.col("v").alias("a"), F.col("component").alias("b"))))
         if last:
             break
         tagged = members.join(parts, "v", "left").select("key", "v", "n", F.coalesce("component", "v").alias("part"))
