@@ -45,7 +45,8 @@ def _count_words(batches):
             held.update([(lang, w) for w in LETTERS.findall(text.lower())])
             if len(held) > FLUSH:
                 yield out()
-    yield out()
+    if held:
+        yield out()
 
 
 def _count_grams(batches):
@@ -58,7 +59,8 @@ def _count_grams(batches):
         if len(held) > FLUSH:
             yield pd.DataFrame({"lang": [k[0] for k in held], "gram": [k[1] for k in held], "n": list(held.values())})
             held.clear()
-    yield pd.DataFrame({"lang": [k[0] for k in held], "gram": [k[1] for k in held], "n": list(held.values())})
+    if held:
+        yield pd.DataFrame({"lang": [k[0] for k in held], "gram": [k[1] for k in held], "n": list(held.values())})
 
 
 class WordBackoff:
@@ -75,7 +77,7 @@ class WordBackoff:
         self.words, w = self._matrix(words, "word", at, n)
         self.word_logs = np.log((w + 0.5) / (tokens + 0.5 * len(self.words) + 1)).astype(np.float32)
         self.grams, g = self._matrix(grams, "gram", at, n)
-        size = np.array([len(k) for k in self.grams] or [0])
+        size = np.array([len(k) for k in self.grams], int)
         self.gram_logs = np.zeros_like(g, dtype=np.float32)
         for k in (1, 2, 3):
             m = size == k

@@ -126,7 +126,8 @@ def contents(texts: DataFrame, wanted: DataFrame, length: int, single: bool) ->
                 if len(out) > 50_000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     return per_text(texts, wanted, ["h", "lo", "hi"]).mapInPandas(run, "h long, s1 long, s2 long, doc_id long, v long, lo long, hi long")
 
@@ -147,7 +148,8 @@ def cut_out(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 if held > 4_000_000:
                     yield pd.DataFrame(out, columns=names)
                     out, held = [], 0
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     return per_text(texts, wanted, ["bucket", "lo", "hi"]).mapInPandas(run, "bucket long, doc_id long, v long, lo long, s binary")
 
