@@ -26,7 +26,7 @@ from tidewell.llm.common import materialize, table
 #: Byte-level BPE's split into pieces, as the tokenizer's file format defines it. Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces whose ids a worker remembers.
-MEMO = 400_000
+MEMO = 1_200_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
