@@ -1,8 +1,9 @@
 """Operator 5, document fingerprints: canonical exact digest, in DataFrame and SQL functions only.
 
 A text's canonical form: compatibility composition (NFKC), case folded, white space run together, trimmed. Its
-fingerprint is two 64-bit xxhashes. Documents whose fingerprints meet are compared by their canonical bytes; should
-different ones have met, each gets its own extension, so that equal fingerprints mean equal canonical texts.
+fingerprint is two 64-bit xxhashes. Documents whose fingerprints meet are compared by their canonical bytes, edited texts
+by SHA-256; should different ones have met, each gets its own SHA-256 as extension, so that equal fingerprints mean equal
+canonical texts.
 Likeness of two fingerprints is 1 where they are equal, else 0: an exact digest knows nothing between.
 
 The next document, by descending doc_id, is found in buckets of neighbouring ids; each bucket also gets the head of the
@@ -66,20 +67,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half)))
     rows = rows.select("doc_id", "h", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("own"), canonical(F.col("edited")).alias("other"), canonical(F.col("next")).alias("following"))
     same = lambda x: F.when(F.col("own") == F.col(x), 1.0).otherwise(0.0)
-    return rows.select("doc_id", "n_chars", "edited_sha256", digest(F.col("own")).alias("f"), digest(F.col("other")).alias("g"), same("other").alias("near_edited"), same("following").alias("near_next"), "own", "other")
+    return rows.select("doc_id", "n_chars", "edited_sha256", digest(F.col("own")).alias("f"), digest(F.col("other")).alias("g"), same("other").alias("near_edited"), same("following").alias("near_next"), F.sha2("own", 256).alias("fs"), F.sha2("other", 256).alias("gs"))
 
 
 def checked(docs: DataFrame) -> DataFrame:
     """The fingerprints, after the canonical texts of those that meet have been compared."""
-    full = fingerprints(docs)
-    out = materialize(full.drop("own", "other"))
+    out = materialize(fingerprints(docs))
     met = out.select(F.explode(F.array("f", "g")).alias("f")).groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f")
     met = materialize(met)
     # texts whose fingerprint met another: whole documents first, then edited ones
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(canonical(F.col("text")).alias("t"))
     rows = rows.select(digest(F.col("t")).alias("f"), "t").join(met, "f")
-    ends = rows.groupBy("f").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a != b").select("f")
-    return out.join(ends.withColumn("clash", F.lit(True)), "f", "left")
+    clash = rows.groupBy("f").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a != b").select("f")
+    # edited texts, among themselves and against whole documents, by SHA-256
+    both = out.select(F.explode(F.array(F.struct("f", F.col("fs").alias("s")), F.struct(F.col("g").alias("f"), F.col("gs").alias("s")))).alias("e")).select("e.*")
+    clash = clash.unionAll(both.groupBy("f").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a != b").select("f")).distinct()
+    clash = materialize(clash)
+    for c, s in (("f", "fs"), ("g", "gs")):
+        met = clash.select(F.col("f").alias("_met"))
+        out = out.join(met, F.col(c) == F.col("_met"), "left").withColumn(c, F.when(F.col("_met").isNull(), F.col(c)).otherwise(F.concat(c, F.lit("-"), s))).drop("_met")
+    return out.drop("fs", "gs")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
