@@ -1,14 +1,16 @@
 """Operator 8, near duplicates by MinHash with tensored banding.
 
-A text's set holds its distinct word shingles. Two collections of `tables` short keys are made for each set, every key
-from `rows` minhashes; a table of the tensored scheme is a pair of one key from each collection. tables² tables thus
-cost 2 * tables * rows minhashes. Documents that agree in a pair are candidates, and candidates are confirmed on the
-full sets. Sets of equal content are one vertex from the start, so copies never meet pair by pair.
+A text's set holds its distinct word shingles. Two collections of short keys are made for each set, one of 26 keys of five
+minhashes, one of 15 keys of three; a table of the tensored scheme is a pair of one key from each collection. 390 tables
+thus cost 175 minhashes. Documents that agree in a pair are candidates, and candidates are confirmed on the full sets.
+Sets of equal content are one vertex from the start, so copies never meet pair by pair.
 
-In a bucket, candidates are first compared with one pivot; while a bucket still holds several components, it gets
-other pivots, and what then remains between different components is compared in full: no link is lost to the pivots.
+Documents that share a key of the first collection are first compared with the pivot they meet most often, if they also
+share one of the second. Pairs of keys are formed only where a bucket of the first collection still holds several
+components; their buckets get pivots in turn, and what then remains between different components is compared in full:
+no link is lost to the pivots.
 
-At a similarity of exactly 0.8 a link is a candidate with probability (1 - (1 - 0.8^rows)^tables)², 0.99994 here.
+At a similarity of exactly 0.8 a link is a candidate with probability (1 - 0.672^26) * (1 - 0.488^15), 0.99995 here.
 
 Defined results: a null or empty text, or one of white space, has an empty set and links with nothing. Rows of equal
 doc_id are told apart by their texts. A row with a null doc_id takes part; its component is the smallest id that it
@@ -23,10 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, table
+from tidewell.llm.common import discard, materialize, table
 from tidewell.llm.graph import components
 
-TABLES, ROWS = 20, 4
+#: Keys of the two collections, and minhashes in each key of them.
+TABLES, ROWS = (26, 15), (5, 3)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,25 +53,27 @@ def multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(2024).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def half_keys(s: np.ndarray, odd: np.ndarray, tables: int, rows: int) -> np.ndarray:
-    """2 * tables keys, each mixed from `rows` minhashes."""
+def half_keys(s: np.ndarray, odd: np.ndarray, tables: tuple[int, int], rows: tuple[int, int]) -> np.ndarray:
+    """The keys of both collections, each mixed from as many minhashes as `rows` says for its collection."""
     low = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 2048):  # memory holds for sets of any size
         np.minimum(low, np.multiply.outer(odd, s[i : i + 2048]).min(1), out=low)
-    low = low.reshape(2 * tables, rows)
-    out = np.arange(1, 2 * tables + 1, dtype=np.uint64)
-    for j in range(rows):
-        out = (out ^ low[:, j]) * ODD
-        out ^= out >> np.uint64(31)
+    out = np.arange(1, sum(tables) + 1, dtype=np.uint64)
+    cut = tables[0] * rows[0]
+    for keys, part in ((out[: tables[0]], low[:cut].reshape(tables[0], rows[0])), (out[tables[0] :], low[cut:].reshape(tables[1], rows[1]))):
+        for j in range(part.shape[1]):
+            keys ^= part[:, j]
+            keys *= ODD
+            keys ^= keys >> np.uint64(31)
     return out
 
 
-def signatures(docs: DataFrame, k: int, tables: int, rows: int) -> DataFrame:
+def signatures(docs: DataFrame, k: int, tables: tuple[int, int], rows: tuple[int, int]) -> DataFrame:
     """For each row v (distinct in this table), doc_id, the text's hash th, set size n, set hash s1 and s2, and the half-keys."""
     n_tables, n_rows, words = tables, rows, k
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        odd, v = multipliers(2 * n_tables * n_rows), TaskContext.get().partitionId() << 40
+        odd, v = multipliers(n_tables[0] * n_rows[0] + n_tables[1] * n_rows[1]), TaskContext.get().partitionId() << 40
         for b in batches:
             out = []
             for doc_id, th, text in zip(b["doc_id"], b["th"], b["text"]):
@@ -76,7 +81,7 @@ def signatures(docs: DataFrame, k: int, tables: int, rows: int) -> DataFrame:
                 keys = half_keys(s, odd, n_tables, n_rows).view(np.int64) if len(s) else np.zeros(0, np.int64)
                 with np.errstate(over="ignore"):
                     s1, s2 = np.bitwise_xor.reduce(s * ODD) if len(s) else np.uint64(0), s.sum(dtype=np.uint64)
-                out.append((v, doc_id, th, len(s), np.uint64(s1).view(np.int64), np.uint64(s2).view(np.int64), keys[:n_tables], keys[n_tables:]))
+                out.append((v, doc_id, th, len(s), np.uint64(s1).view(np.int64), np.uint64(s2).view(np.int64), keys[: n_tables[0]], keys[n_tables[0] :]))
                 v += 1
             frame = pd.DataFrame(out, columns=["v", "doc_id", "th", "n", "s1", "s2", "ka", "kb"])
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), th=frame["th"].astype("Int64"))
@@ -106,65 +111,89 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (100 * both >= percent * union).alias("linked")).distinct()
 
 
-def link(docs: DataFrame, k: int = 2, percent: int = 80, tables: int = TABLES, rows: int = ROWS) -> DataFrame:
+def close(a: str, b: str, percent: int):
+    """Whether sizes allow two sets to be similar."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def first_pairs(alive: DataFrame, halves: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b), a > b, from the keys of the first collection: in buckets of two the pair, in larger ones each
+    member with the pivot that it meets most often. Only pairs that also share a key of the second collection."""
+    near = alive.select("v", "n", "c", F.explode(F.array("p", "q")).alias("p")).where((F.col("v") != F.col("p.v")) & close("n", "p.n", percent))
+    met = near.groupBy("v", F.col("p.v").alias("w")).agg(F.count("*").alias("t"), F.min("c").alias("c"))
+    most = met.groupBy("v").agg(F.max(F.struct("t", F.col("w").alias("x"))).alias("m"))
+    met = met.join(most, "v").where("c = 2 or w = m.x").select(F.greatest("v", "w").alias("a"), F.least("v", "w").alias("b")).distinct()
+    left, right = halves.select(F.col("v").alias("a"), F.col("kb").alias("ka_")), halves.select(F.col("v").alias("b"), F.col("kb").alias("kb_"))
+    return met.join(left, "a").join(right, "b").where(F.arrays_overlap("ka_", "kb_")).select("a", "b")
+
+
+def tensored(open_: DataFrame, halves: DataFrame) -> DataFrame:
+    """(key, v, n, part): the members of the tensored tables' buckets that hold several components."""
+    keys = open_.join(halves, "v").select("v", "n", "part", "ka", F.explode("kb").alias("kb"))  # keys of different tables never meet
+    keys = keys.select(F.xxhash64("ka", "kb").alias("key"), "v", "n", "part")
+    mixed = keys.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
+    return materialize(keys.join(mixed, "key"))
+
+
+def link(docs: DataFrame, k: int = 2, percent: int = 80, tables: tuple[int, int] = TABLES, rows: tuple[int, int] = ROWS) -> DataFrame:
     """doc_id, th (the text's hash), n_shingles and component_id of every row of docs."""
     sig = materialize(signatures(docs, k, tables, rows))
     full = sig.where("n > 0")
     classes = materialize(full.groupBy("s1", "s2", "n").agg(F.min("v").alias("v"), F.min("doc_id").alias("least_id")))
-    reps = full.join(classes.select("v"), "v", "left_semi").select("v", "doc_id", "th", "n", "ka", "kb")
-    keys = reps.select("v", F.explode("ka").alias("ka"))
-    shared = keys.groupBy("ka").agg(F.count("*").alias("c")).where("c > 1").select("ka")
-    alive = materialize(keys.join(shared, "ka"))
-    tensor = alive.join(reps.select("v", "n", "kb"), "v").select("v", "n", "ka", F.posexplode("kb").alias("j", "kb"))
-    tensor = tensor.select(F.xxhash64("ka", "j", "kb").alias("key"), "v", "n")
-    both = tensor.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = materialize(tensor.join(both, "key"))
-    involved = members.select("v").distinct()
-    sets = materialize(sets_of(docs, sig.join(involved, "v", "left_semi").select("v", "doc_id", "th"), k))
-
-    def close(a: str, b: str):  # sizes alone rule out the rest
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    reps = materialize(full.join(classes.select("v"), "v", "left_semi").select("v", "n", "ka", "kb"))
+    halves = reps.select("v", "kb")
+    keys = reps.select("v", "n", F.explode("ka").alias("ka"))
+    me = F.struct("v", "n")
+    shared = keys.groupBy("ka").agg(F.count("*").alias("c"), F.min(me).alias("p"), F.min(F.struct(F.xxhash64("v").alias("x"), me.alias("m"))).alias("q")).where("c > 1")
+    alive = materialize(keys.join(shared.select("ka", "c", "p", F.col("q.m").alias("q")), "ka"))
+    pairs = materialize(first_pairs(alive, halves, percent))
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """pairs with `linked`, judged on full sets."""
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+        sets = materialize(sets_of(docs, sig.join(involved, "v", "left_semi").select("v", "doc_id", "th"), k))
+        out = materialize(similar_pairs(pairs, sets, percent))
+        discard(sets)
+        return out
+
+    seen = compare(pairs)
+    parts = components(seen.where("linked").select("a", "b"))
+    # buckets of two are done with; of the others those that hold several components
+    tagged = alive.where("c > 2").select("ka", "v", "n").join(parts, "v", "left").select("ka", "v", "n", F.coalesce("component", "v").alias("part"))
+    mixed = tagged.groupBy("ka").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("ka")
+    members = tensored(tagged.join(mixed, "ka"), halves)
+    discard(alive, pairs, reps)
 
     def pivoted(m: DataFrame, salt: int) -> DataFrame:
-        """Each member with its bucket's pivot; the smallest, then another by each salt."""
-        by = F.col("v") if salt == 0 else F.xxhash64("v", F.lit(salt))
-        first = m.groupBy("key").agg(F.min(F.struct(by.alias("x"), F.col("v").alias("p"), F.col("n").alias("pn"))).alias("p"))
-        out = m.join(first, "key").where(close("n", "p.pn"))
+        """Each member with its bucket's pivot, another one by each salt."""
+        first = m.groupBy("key").agg(F.min(F.struct(F.xxhash64("v", F.lit(salt)).alias("x"), F.col("v").alias("p"), F.col("n").alias("pn"))).alias("p"))
+        out = m.join(first, "key").where(close("n", "p.pn", percent))
         return out.select(F.greatest("v", "p.p").alias("a"), F.least("v", "p.p").alias("b")).where("a != b").distinct()
 
-    seen, parts, salt = None, None, 0
-    open_ = members
+    open_, salt = members, 1
     while True:
         at_most = open_.groupBy("key").agg(F.count("*").alias("c")).agg(F.sum(F.expr("c * (c - 1) / 2")).alias("s"), F.sum("c").alias("c")).first()
         if not at_most["c"]:
             break
-        last = at_most["s"] <= 16 * at_most["c"] or salt > 1
+        last = at_most["s"] <= 16 * at_most["c"] or salt > 2
         if last:
-            left = open_.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa") if parts is not None else F.col("v").alias("pa"))
-            right = open_.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb") if parts is not None else F.col("v").alias("pb"))
-            pairs = left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & close("na", "nb")).select("a", "b").distinct()
+            left = open_.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+            right = open_.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+            pairs = left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & close("na", "nb", percent)).select("a", "b").distinct()
         else:
             pairs = pivoted(open_, salt)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        judged = materialize(similar_pairs(pairs, sets, percent))
-        seen = judged if seen is None else seen.unionAll(judged)
+        judged = compare(materialize(pairs.join(seen, ["a", "b"], "left_anti")))
+        seen = seen.unionAll(judged)
         # what is already known to hang together goes in as one star a component, not by all its links
-        links = judged.where("linked").select("a", "b")
-        parts = components(links if parts is None else links.unionAll(parts.select(F.col("v").alias("a"), F.col("component").alias("b"))))
+        parts = components(judged.where("linked").select("a", "b").unionAll(parts.select(F.col("v").alias("a"), F.col("component").alias("b"))))
         if last:
             break
-        tagged = members.join(parts, "v", "left").select("key", "v", "n", F.coalesce("component", "v").alias("part"))
+        tagged = members.drop("part").join(parts, "v", "left").select("key", "v", "n", F.coalesce("component", "v").alias("part"))
         mixed = tagged.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
         open_, salt = materialize(tagged.join(mixed, "key")), salt + 1
-        seen = seen.select("a", "b", "linked")
-    named = classes
-    if parts is not None:
-        named = classes.join(parts, "v", "left").select("s1", "s2", "n", "least_id", F.coalesce("component", "v").alias("part"))
-        least = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
-        named = named.join(least, "part").select("s1", "s2", "n", "component_id")
-    else:
-        named = classes.select("s1", "s2", "n", F.col("least_id").alias("component_id"))
+    named = classes.join(parts, "v", "left").select("s1", "s2", "n", "least_id", F.coalesce("component", "v").alias("part"))
+    least = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
+    named = named.join(least, "part").select("s1", "s2", "n", "component_id")
     out = sig.select("doc_id", "th", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
