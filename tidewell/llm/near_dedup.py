@@ -6,9 +6,9 @@ thus cost 175 minhashes. Documents that agree in a pair are candidates, and cand
 Sets of equal content are one vertex from the start, so copies never meet pair by pair.
 
 Documents that share a key of the first collection are first compared with the pivot they meet most often, if they also
-share one of the second. Pairs of keys are formed only where a bucket of the first collection still holds several
-components; their buckets get pivots in turn, and what then remains between different components is compared in full:
-no link is lost to the pivots.
+share one of the second. Where a bucket then still holds several components, the rows outside the largest are compared
+with all others; are they many, pairs of keys are formed and their smaller buckets compared in full. No link is lost to
+the pivots.
 
 At a similarity of exactly 0.8 a link is a candidate with probability (1 - 0.672^26) * (1 - 0.488^15), 0.99995 here.
 
@@ -30,6 +30,8 @@ from tidewell.llm.graph import components
 
 #: Keys of the two collections, and minhashes in each key of them.
 TABLES, ROWS = (26, 15), (5, 3)
+#: Rounds of pivots, and rows outside a bucket's main component up to which these are compared with all its rows.
+PIVOTS, DIRECT = 3, 1000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,20 +118,40 @@ def close(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def first_pairs(alive: DataFrame, halves: DataFrame, percent: int) -> DataFrame:
+def with_pivots(rows: DataFrame, salt: int) -> DataFrame:
+    """rows (ka, v, n, part) of the buckets that hold several components, with the bucket's size c and two pivots p, q."""
+    me = F.struct("v", "n", "part").alias("m")
+    picks = [F.min(F.struct(F.xxhash64("v", F.lit(2 * salt + i)).alias("x"), me)).alias(x) for i, x in enumerate("pq")]
+    buckets = rows.groupBy("ka").agg(F.count("*").alias("c"), F.min("part").alias("x"), F.max("part").alias("y"), *picks).where("x != y")
+    return rows.join(buckets.select("ka", "c", F.col("p.m").alias("p"), F.col("q.m").alias("q")), "ka")
+
+
+def pivot_pairs(alive: DataFrame, halves: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b), a > b, from the keys of the first collection: in buckets of two the pair, in larger ones each
     member with the pivot that it meets most often. Only pairs that also share a key of the second collection."""
-    near = alive.select("v", "n", "c", F.explode(F.array("p", "q")).alias("p")).where((F.col("v") != F.col("p.v")) & close("n", "p.n", percent))
+    near = alive.select("v", "n", "part", "c", F.explode(F.array("p", "q")).alias("p")).where((F.col("part") != F.col("p.part")) & close("n", "p.n", percent))
     met = near.groupBy("v", F.col("p.v").alias("w")).agg(F.count("*").alias("t"), F.min("c").alias("c"))
     most = met.groupBy("v").agg(F.max(F.struct("t", F.col("w").alias("x"))).alias("m"))
     met = met.join(most, "v").where("c = 2 or w = m.x").select(F.greatest("v", "w").alias("a"), F.least("v", "w").alias("b")).distinct()
-    left, right = halves.select(F.col("v").alias("a"), F.col("kb").alias("ka_")), halves.select(F.col("v").alias("b"), F.col("kb").alias("kb_"))
-    return met.join(left, "a").join(right, "b").where(F.arrays_overlap("ka_", "kb_")).select("a", "b")
+    left, right = halves.select(F.col("v").alias("a"), F.col("kb").alias("kb_a")), halves.select(F.col("v").alias("b"), F.col("kb").alias("kb_b"))
+    return met.join(left, "a").join(right, "b").where(F.arrays_overlap("kb_a", "kb_b")).select("a", "b")
+
+
+def minor_pairs(rows: DataFrame, halves: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b), a > b, of different components: of rows (ka, v, n, part, main) those outside their bucket's
+    main component with all others. A pair comes up in the first bucket that it shares, and in no other."""
+    small = lambda c: F.transform(c, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
+    rows = rows.join(halves.select("v", small("ka").alias("fa"), small("kb").alias("fb")), "v")
+    left, right = (rows.select("ka", *[F.col(c).alias(f"{c}_{x}") for c in ("v", "n", "part", "main", "fa", "fb")]) for x in "ab")
+    once = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_b")) | (F.col("v_a") > F.col("v_b"))) & close("n_a", "n_b", percent)
+    first = F.get(F.array_intersect("fa_a", "fa_b"), F.lit(0)) == F.col("ka").bitwiseAND(0x7FFFFFFF).cast("int")
+    met = left.where("part_a != main_a").join(right, "ka").where(once & first & F.arrays_overlap("fb_a", "fb_b"))
+    return met.select(F.greatest("v_a", "v_b").alias("a"), F.least("v_a", "v_b").alias("b")).distinct()
 
 
 def tensored(open_: DataFrame, halves: DataFrame) -> DataFrame:
     """(key, v, n, part): the members of the tensored tables' buckets that hold several components."""
-    keys = open_.join(halves, "v").select("v", "n", "part", "ka", F.explode("kb").alias("kb"))  # keys of different tables never meet
+    keys = open_.join(halves.select("v", "kb"), "v").select("v", "n", "part", "ka", F.explode("kb").alias("kb"))  # keys of different tables never meet
     keys = keys.select(F.xxhash64("ka", "kb").alias("key"), "v", "n", "part")
     mixed = keys.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
     return materialize(keys.join(mixed, "key"))
@@ -141,12 +163,6 @@ def link(docs: DataFrame, k: int = 2, percent: int = 80, tables: tuple[int, int]
     full = sig.where("n > 0")
     classes = materialize(full.groupBy("s1", "s2", "n").agg(F.min("v").alias("v"), F.min("doc_id").alias("least_id")))
     reps = materialize(full.join(classes.select("v"), "v", "left_semi").select("v", "n", "ka", "kb"))
-    halves = reps.select("v", "kb")
-    keys = reps.select("v", "n", F.explode("ka").alias("ka"))
-    me = F.struct("v", "n")
-    shared = keys.groupBy("ka").agg(F.count("*").alias("c"), F.min(me).alias("p"), F.min(F.struct(F.xxhash64("v").alias("x"), me.alias("m"))).alias("q")).where("c > 1")
-    alive = materialize(keys.join(shared.select("ka", "c", "p", F.col("q.m").alias("q")), "ka"))
-    pairs = materialize(first_pairs(alive, halves, percent))
 
     def compare(pairs: DataFrame) -> DataFrame:
         """pairs with `linked`, judged on full sets."""
@@ -156,13 +172,31 @@ def link(docs: DataFrame, k: int = 2, percent: int = 80, tables: tuple[int, int]
         discard(sets)
         return out
 
-    seen = compare(pairs)
-    parts = components(seen.where("linked").select("a", "b"))
-    # buckets of two are done with; of the others those that hold several components
-    tagged = alive.where("c > 2").select("ka", "v", "n").join(parts, "v", "left").select("ka", "v", "n", F.coalesce("component", "v").alias("part"))
-    mixed = tagged.groupBy("ka").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("ka")
-    members = tensored(tagged.join(mixed, "ka"), halves)
-    discard(alive, pairs, reps)
+    seen, parts = None, None
+
+    def settle(pairs: DataFrame) -> None:
+        """Compares pairs that are new and joins the components of those that are linked."""
+        nonlocal seen, parts
+        judged = compare(materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")))
+        links = judged.where("linked").select("a", "b")
+        # what is already known to hang together goes in as one star a component, not by all its links
+        parts = components(links if parts is None else links.unionAll(parts.select(F.col("v").alias("a"), F.col("component").alias("b"))))
+        seen = judged if seen is None else seen.unionAll(judged)
+
+    def tagged(rows: DataFrame, key: str) -> DataFrame:
+        return rows.select(key, "v", "n").join(parts, "v", "left").select(key, "v", "n", F.coalesce("component", "v").alias("part"))
+
+    open_ = reps.select(F.explode("ka").alias("ka"), "v", "n", F.col("v").alias("part"))
+    for salt in range(PIVOTS):
+        alive = materialize(with_pivots(open_, salt))
+        settle(pivot_pairs(alive, reps, percent))
+        open_ = tagged(alive.where("c > 2"), "ka")  # buckets of two are done with
+    sizes = open_.groupBy("ka", "part").agg(F.count("*").alias("c")).groupBy("ka").agg(F.sum("c").alias("c"), F.max(F.struct("c", "part")).alias("m"))
+    sizes = sizes.select("ka", (F.col("c") - F.col("m.c")).alias("minor"), F.col("m.part").alias("main")).where("minor > 0")
+    left = materialize(open_.join(sizes, "ka"))
+    settle(minor_pairs(left.where(F.col("minor") <= DIRECT), reps, percent))
+    members = tensored(tagged(left.where(F.col("minor") > DIRECT), "ka"), reps)
+    discard(alive, left)
 
     def pivoted(m: DataFrame, salt: int) -> DataFrame:
         """Each member with its bucket's pivot, another one by each salt."""
@@ -170,27 +204,24 @@ def link(docs: DataFrame, k: int = 2, percent: int = 80, tables: tuple[int, int]
         out = m.join(first, "key").where(close("n", "p.pn", percent))
         return out.select(F.greatest("v", "p.p").alias("a"), F.least("v", "p.p").alias("b")).where("a != b").distinct()
 
-    open_, salt = members, 1
+    open_, salt = members, 100
     while True:
         at_most = open_.groupBy("key").agg(F.count("*").alias("c")).agg(F.sum(F.expr("c * (c - 1) / 2")).alias("s"), F.sum("c").alias("c")).first()
         if not at_most["c"]:
             break
-        last = at_most["s"] <= 16 * at_most["c"] or salt > 2
+        last = at_most["s"] <= 16 * at_most["c"] or salt > 101
         if last:
             left = open_.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
             right = open_.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
             pairs = left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & close("na", "nb", percent)).select("a", "b").distinct()
         else:
             pairs = pivoted(open_, salt)
-        judged = compare(materialize(pairs.join(seen, ["a", "b"], "left_anti")))
-        seen = seen.unionAll(judged)
-        # what is already known to hang together goes in as one star a component, not by all its links
-        parts = components(judged.where("linked").select("a", "b").unionAll(parts.select(F.col("v").alias("a"), F.col("component").alias("b"))))
+        settle(pairs)
         if last:
             break
-        tagged = members.drop("part").join(parts, "v", "left").select("key", "v", "n", F.coalesce("component", "v").alias("part"))
-        mixed = tagged.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
-        open_, salt = materialize(tagged.join(mixed, "key")), salt + 1
+        again = tagged(members, "key")
+        mixed = again.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
+        open_, salt = materialize(again.join(mixed, "key")), salt + 1
     named = classes.join(parts, "v", "left").select("s1", "s2", "n", "least_id", F.coalesce("component", "v").alias("part"))
     least = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "part").select("s1", "s2", "n", "component_id")
