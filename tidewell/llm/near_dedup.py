@@ -3,7 +3,8 @@
 A text's set holds its distinct word shingles. Two collections of short keys are made for each set, one of 26 keys of five
 minhashes, one of 15 keys of three; a table of the tensored scheme is a pair of one key from each collection. 390 tables
 thus cost 175 minhashes. Documents that agree in a pair are candidates, and candidates are confirmed on the full sets.
-Sets of equal content are one vertex from the start, so copies never meet pair by pair.
+Sets of equal content are one vertex from the start, so copies never meet pair by pair. A 1024-bit image of each set rules
+out candidates that can't be similar; it never rules out others.
 
 Documents that share a key of the first collection are first compared with the pivot they meet most often, if they also
 share one of the second. Where a bucket then still holds several components, the rows outside the largest are compared
@@ -30,8 +31,10 @@ from tidewell.llm.graph import components
 
 #: Keys of the two collections, and minhashes in each key of them.
 TABLES, ROWS = (26, 15), (5, 3)
-#: Rounds of pivots, and rows outside a bucket's main component up to which these are compared with all its rows.
-PIVOTS, DIRECT = 3, 1000
+#: Pivots of a bucket in each round, and rows outside its main component up to which these are compared with all its rows.
+PIVOTS, DIRECT = (2, 8), 1000
+#: Bits of a set's image.
+IMAGE = 1024
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,6 +54,12 @@ def shingles(text, k: int) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
+def image(s: np.ndarray) -> np.ndarray:
+    """The set's image in IMAGE bits: each member turns one over. Two images differ in no more bits than their sets in members."""
+    odd = np.bincount((s & np.uint64(IMAGE - 1)).astype(np.int64), minlength=IMAGE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(2024).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -71,7 +80,7 @@ def half_keys(s: np.ndarray, odd: np.ndarray, tables: tuple[int, int], rows: tup
 
 
 def signatures(docs: DataFrame, k: int, tables: tuple[int, int], rows: tuple[int, int]) -> DataFrame:
-    """For each row v (distinct in this table), doc_id, the text's hash th, set size n, set hash s1 and s2, and the half-keys."""
+    """For each row v (distinct in this table), doc_id, the text's hash th, set size n, set hash s1 and s2, the half-keys and the set's image."""
     n_tables, n_rows, words = tables, rows, k
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,13 +92,13 @@ def signatures(docs: DataFrame, k: int, tables: tuple[int, int], rows: tuple[int
                 keys = half_keys(s, odd, n_tables, n_rows).view(np.int64) if len(s) else np.zeros(0, np.int64)
                 with np.errstate(over="ignore"):
                     s1, s2 = np.bitwise_xor.reduce(s * ODD) if len(s) else np.uint64(0), s.sum(dtype=np.uint64)
-                out.append((v, doc_id, th, len(s), np.uint64(s1).view(np.int64), np.uint64(s2).view(np.int64), keys[: n_tables[0]], keys[n_tables[0] :]))
+                out.append((v, doc_id, th, len(s), np.uint64(s1).view(np.int64), np.uint64(s2).view(np.int64), keys[: n_tables[0]], keys[n_tables[0] :], image(s)))
                 v += 1
-            frame = pd.DataFrame(out, columns=["v", "doc_id", "th", "n", "s1", "s2", "ka", "kb"])
+            frame = pd.DataFrame(out, columns=["v", "doc_id", "th", "n", "s1", "s2", "ka", "kb", "bits"])
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), th=frame["th"].astype("Int64"))
 
     rows_in = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    return rows_in.mapInPandas(run, "v long, doc_id long, th long, n long, s1 long, s2 long, ka array<long>, kb array<long>")
+    return rows_in.mapInPandas(run, "v long, doc_id long, th long, n long, s1 long, s2 long, ka array<long>, kb array<long>, bits array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -118,34 +127,46 @@ def close(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def with_pivots(rows: DataFrame, salt: int) -> DataFrame:
-    """rows (ka, v, n, part) of the buckets that hold several components, with the bucket's size c and two pivots p, q."""
+def alike(a: str, b: str, na: str, nb: str, percent: int):
+    """Whether images differ in few enough bits; sets of `percent` similarity always pass."""
+    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, IMAGE // 64)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(na) + F.col(nb))
+
+
+def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) that share a key of the second collection and whose images are alike."""
+    left, right = (reps.select(F.col("v").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "kb", "bits")]) for x in "ab")
+    met = pairs.join(left, "a").join(right, "b")
+    return met.where(F.arrays_overlap("kb_a", "kb_b") & alike("bits_a", "bits_b", "n_a", "n_b", percent)).select("a", "b")
+
+
+def with_pivots(rows: DataFrame, salt: int, many: int) -> DataFrame:
+    """rows (ka, v, n, part) of the buckets that hold several components, with the bucket's size c and `many` pivots ps."""
     me = F.struct("v", "n", "part").alias("m")
-    picks = [F.min(F.struct(F.xxhash64("v", F.lit(2 * salt + i)).alias("x"), me)).alias(x) for i, x in enumerate("pq")]
+    picks = [F.min(F.struct(F.xxhash64("v", F.lit(100 * salt + i)).alias("x"), me)).alias(f"p{i}") for i in range(many)]
     buckets = rows.groupBy("ka").agg(F.count("*").alias("c"), F.min("part").alias("x"), F.max("part").alias("y"), *picks).where("x != y")
-    return rows.join(buckets.select("ka", "c", F.col("p.m").alias("p"), F.col("q.m").alias("q")), "ka")
+    return rows.join(buckets.select("ka", "c", F.array_distinct(F.array(*[F.col(f"p{i}.m") for i in range(many)])).alias("ps")), "ka")
 
 
-def pivot_pairs(alive: DataFrame, halves: DataFrame, percent: int) -> DataFrame:
+def pivot_pairs(alive: DataFrame, reps: DataFrame, percent: int, best: bool) -> DataFrame:
     """Candidates (a, b), a > b, from the keys of the first collection: in buckets of two the pair, in larger ones each
-    member with the pivot that it meets most often. Only pairs that also share a key of the second collection."""
-    near = alive.select("v", "n", "part", "c", F.explode(F.array("p", "q")).alias("p")).where((F.col("part") != F.col("p.part")) & close("n", "p.n", percent))
+    member with the bucket's pivots, with `best` only with the one it meets most often. Only plausible pairs."""
+    near = alive.select("v", "n", "part", "c", F.explode("ps").alias("p")).where((F.col("part") != F.col("p.part")) & close("n", "p.n", percent))
     met = near.groupBy("v", F.col("p.v").alias("w")).agg(F.count("*").alias("t"), F.min("c").alias("c"))
     most = met.groupBy("v").agg(F.max(F.struct("t", F.col("w").alias("x"))).alias("m"))
-    met = met.join(most, "v").where("c = 2 or w = m.x").select(F.greatest("v", "w").alias("a"), F.least("v", "w").alias("b")).distinct()
-    left, right = halves.select(F.col("v").alias("a"), F.col("kb").alias("kb_a")), halves.select(F.col("v").alias("b"), F.col("kb").alias("kb_b"))
-    return met.join(left, "a").join(right, "b").where(F.arrays_overlap("kb_a", "kb_b")).select("a", "b")
+    met = met.join(most, "v").where("c = 2 or w = m.x" if best else "true").select(F.greatest("v", "w").alias("a"), F.least("v", "w").alias("b")).distinct()
+    return plausible(met, reps, percent)
 
 
-def minor_pairs(rows: DataFrame, halves: DataFrame, percent: int) -> DataFrame:
+def minor_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b), a > b, of different components: of rows (ka, v, n, part, main) those outside their bucket's
     main component with all others. A pair comes up in the first bucket that it shares, and in no other."""
     small = lambda c: F.transform(c, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-    rows = rows.join(halves.select("v", small("ka").alias("fa"), small("kb").alias("fb")), "v")
-    left, right = (rows.select("ka", *[F.col(c).alias(f"{c}_{x}") for c in ("v", "n", "part", "main", "fa", "fb")]) for x in "ab")
+    rows = rows.join(reps.select("v", small("ka").alias("fa"), small("kb").alias("fb"), "bits"), "v")
+    left, right = (rows.select("ka", *[F.col(c).alias(f"{c}_{x}") for c in ("v", "n", "part", "main", "fa", "fb", "bits")]) for x in "ab")
     once = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_b")) | (F.col("v_a") > F.col("v_b"))) & close("n_a", "n_b", percent)
     first = F.get(F.array_intersect("fa_a", "fa_b"), F.lit(0)) == F.col("ka").bitwiseAND(0x7FFFFFFF).cast("int")
-    met = left.where("part_a != main_a").join(right, "ka").where(once & first & F.arrays_overlap("fb_a", "fb_b"))
+    met = left.where("part_a != main_a").join(right, "ka").where(once & alike("bits_a", "bits_b", "n_a", "n_b", percent) & first & F.arrays_overlap("fb_a", "fb_b"))
     return met.select(F.greatest("v_a", "v_b").alias("a"), F.least("v_a", "v_b").alias("b")).distinct()
 
 
@@ -162,7 +183,7 @@ def link(docs: DataFrame, k: int = 2, percent: int = 80, tables: tuple[int, int]
     sig = materialize(signatures(docs, k, tables, rows))
     full = sig.where("n > 0")
     classes = materialize(full.groupBy("s1", "s2", "n").agg(F.min("v").alias("v"), F.min("doc_id").alias("least_id")))
-    reps = materialize(full.join(classes.select("v"), "v", "left_semi").select("v", "n", "ka", "kb"))
+    reps = materialize(full.join(classes.select("v"), "v", "left_semi").select("v", "n", "ka", "kb", "bits"))
 
     def compare(pairs: DataFrame) -> DataFrame:
         """pairs with `linked`, judged on full sets."""
@@ -187,9 +208,9 @@ def link(docs: DataFrame, k: int = 2, percent: int = 80, tables: tuple[int, int]
         return rows.select(key, "v", "n").join(parts, "v", "left").select(key, "v", "n", F.coalesce("component", "v").alias("part"))
 
     open_ = reps.select(F.explode("ka").alias("ka"), "v", "n", F.col("v").alias("part"))
-    for salt in range(PIVOTS):
-        alive = materialize(with_pivots(open_, salt))
-        settle(pivot_pairs(alive, reps, percent))
+    for salt, many in enumerate(PIVOTS):
+        alive = materialize(with_pivots(open_, salt, many))
+        settle(pivot_pairs(alive, reps, percent, salt == 0))
         open_ = tagged(alive.where("c > 2"), "ka")  # buckets of two are done with
     sizes = open_.groupBy("ka", "part").agg(F.count("*").alias("c")).groupBy("ka").agg(F.sum("c").alias("c"), F.max(F.struct("c", "part")).alias("m"))
     sizes = sizes.select("ka", (F.col("c") - F.col("m.c")).alias("minor"), F.col("m.part").alias("main")).where("minor > 0")
@@ -204,19 +225,19 @@ def link(docs: DataFrame, k: int = 2, percent: int = 80, tables: tuple[int, int]
         out = m.join(first, "key").where(close("n", "p.pn", percent))
         return out.select(F.greatest("v", "p.p").alias("a"), F.least("v", "p.p").alias("b")).where("a != b").distinct()
 
-    open_, salt = members, 100
+    open_, salt = members, 1
     while True:
         at_most = open_.groupBy("key").agg(F.count("*").alias("c")).agg(F.sum(F.expr("c * (c - 1) / 2")).alias("s"), F.sum("c").alias("c")).first()
         if not at_most["c"]:
             break
-        last = at_most["s"] <= 16 * at_most["c"] or salt > 101
+        last = at_most["s"] <= 16 * at_most["c"] or salt > 2
         if last:
             left = open_.select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
             right = open_.select("key", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
             pairs = left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & close("na", "nb", percent)).select("a", "b").distinct()
         else:
             pairs = pivoted(open_, salt)
-        settle(pairs)
+        settle(plausible(pairs, reps, percent))
         if last:
             break
         again = tagged(members, "key")
