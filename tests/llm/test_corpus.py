@@ -188,6 +188,23 @@ def test_near_dedup(docs, empty):
     assert near_dedup.keep_one(docs).columns == docs.columns
 
 
+def test_near_dedup_pairs_of_keys(docs, monkeypatch):
+    by = lambda: {(r["doc_id"], r["th"]): r["component_id"] for r in rows(near_dedup.link(docs.select("doc_id", "text"), 2))}
+    want = by()
+    monkeypatch.setattr(near_dedup, "DIRECT", 0)
+    monkeypatch.setattr(near_dedup, "PIVOTS", (2,))
+    assert by() == want
+
+
+def test_images_rule_out_nothing_similar():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) - n // 10], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
+        differ = sum(bin((int(x) ^ int(y)) & (2**64 - 1)).count("1") for x, y in zip(near_dedup.image(a), near_dedup.image(b)))
+        assert differ <= len(np.setxor1d(a, b))
+
+
 def test_substring_dedup(docs, empty):
     got = rows(substring_dedup.remove_repeats(docs, 100, hot=3))
     seen, want = set(), []
