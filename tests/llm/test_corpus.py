@@ -88,6 +88,22 @@ def test_line_dedup(docs, empty):
     assert line_dedup.keep_lines(docs).columns == docs.columns
 
 
+def test_line_dedup_takes_short_lines(spark):
+    texts = ["Les.\na b c d\n\nx y", "a b c d e\nLes.\n \t\ny  x\nx y z", "b a b a b a\nx\n\nlong long", "a b b a\n x\nLes\nlong", None, "", "Les.\nx y"]
+    got = line_dedup.keep_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    seen, want = [], {}
+    for i, t in enumerate(texts):
+        kept = []
+        for line in (t or "").split("\n"):
+            s = set(line.split())
+            if not any(len(s & o) * 100 >= 80 * len(s | o) for o in seen if s):
+                kept.append(line)
+            seen += [s] if s else []
+        if kept:
+            want[i] = t if t is None else "\n".join(kept)
+    assert 6 not in want and want[1] == " \t\nx y z" and {r.doc_id: r.text for r in got.collect()} == want
+
+
 def test_language(spark, docs, empty):
     train = spark.createDataFrame([("de", "der hund und die katze"), ("en", "the dog and the cat")] * 5, "lang string, text string")
     model = language_id.fit(train)
