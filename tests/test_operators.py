@@ -102,6 +102,24 @@ def test_digest(spark):
     assert (np.diff(shares) >= 0).all()
 
 
+def test_digest_compat_reads_weighted_centroids(spark):
+    d = digest.Digest(np.array([1.0, 3.0, 7.0]), np.array([2.0, 4.0, 2.0]), 0.0, 9.0)
+    assert np.allclose(digest.cdf(d, [-1, 0.5, 1, 1.5, 2, 3, 6, 7, 8, 10], compat=True), [0, 0, 0, 0.625, 0.5, 0.25, 0.8125, 1, 1, 1])
+    assert np.allclose(digest.quantile(d, [0.1, 0.2, 0.25, 0.5, 0.625, 0.75, 1], compat=True), [0.8, 7, 3, 2, 1.5, 9, 9])
+    same, one = digest.Digest(np.full(2, 3.0), np.ones(2), 3.0, 3.0), digest.Digest(np.array([2.0]), np.array([4.0]), 1.0, 5.0)
+    assert list(digest.cdf(same, [2, 3, 4], compat=True)) == [0, 1, 1] and list(digest.cdf(one, [1, 2, 4, 5], compat=True)) == [0, 0.5, 0.5, 1]
+    x = np.random.default_rng(6).permutation(3000) / 1.0
+    df = column(spark, x.tolist())
+    op = digest.TDigestDistribution(100.0, compat=True).fit(df, "x")
+    m, w = op.digest.means, op.digest.weights
+    assert w.max() > 1
+    upto = np.cumsum(w)
+    for v, y in zip(x, apply(df, op)):
+        k = int((m < v).sum())
+        inner = 0 if v <= m[0] else 1 if v >= m[-1] else (upto[k - 1] * (v - m[k - 1]) + upto[k] * (m[k] - v)) / (m[k] - m[k - 1]) / 3000
+        assert abs(y - inner) < 1e-9
+
+
 def test_empirical_cdf(spark):
     out = scalers.empirical_cdf(column(spark, [3.0, 1.0, 1.0, 2.0, None]), "x").orderBy("i")
     assert values(out, "cdf") == [1.0, 0.5, 0.5, 0.75, None]

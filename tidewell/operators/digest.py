@@ -1,8 +1,8 @@
 """t-digest: a mergeable sketch of a distribution, as sorted centroids with weights.
 
 Partitions are sketched where they are (`mapInPandas`), partial sketches are merged in a tree, and quantiles or shares
-are read from the result by interpolation. `compat=True` reads a sketch whose centroids are all single values the way
-the older estimator did, whose interpolation runs backwards inside a gap.
+are read from the result by interpolation. `compat=True` reads a sketch the way the older estimator did: between two
+centroids the interpolation runs from one cumulative weight to the other, backwards; tails have no share of their own.
 """
 
 from __future__ import annotations
@@ -71,12 +71,15 @@ def quantile(d: Digest, q, compat: bool = False) -> np.ndarray:
         return np.full(len(q), np.nan)
     if n == 1:
         return np.full(len(q), d.means[0])
-    if compat and (d.weights == 1).all():
-        at = q * n
-        i = np.clip(np.floor(at).astype(int), 1, n - 1)
-        f = at - i
-        inner = d.means[i] * (1 - f) + d.means[i - 1] * f
-        return np.where(at <= 0.5, d.low, np.where((at < 1) | (at >= n - 1), d.high, inner))
+    if compat:
+        upto = np.cumsum(d.weights)
+        at, first = q * upto[-1], d.weights[0]
+        i = np.searchsorted(upto, at, side="right")
+        j = i.clip(1, n - 1)
+        f = (at - upto[j - 1]) / d.weights[j]
+        inner = d.means[j] * (1 - f) + d.means[j - 1] * f
+        inner = np.where(i == 0, d.means[-1], np.where(i >= n - 1, d.high, inner))  # inside the first centroid it wraps to the last
+        return np.where(at <= first / 2, d.low + 2 * at / first * (d.means[0] - d.low), inner)
     total = d.weights.sum()
     middle = np.cumsum(d.weights) - d.weights / 2
     return np.interp(q * total, np.concatenate([[0], middle, [total]]), np.concatenate([[d.low], d.means, [d.high]]))
@@ -88,14 +91,16 @@ def cdf(d: Digest, x, compat: bool = False) -> np.ndarray:
     if not n:
         return np.zeros(len(x))
     total = d.weights.sum()
-    if d.low == d.high:
-        out = np.where(x < d.low, 0.0, np.where(x > d.low, 1.0, 0.5))
-    elif compat and (d.weights == 1).all():
+    if compat and n > 1:
         i = np.searchsorted(d.means, x, side="left").clip(1, n - 1)
         a, b = d.means[i - 1], d.means[i]
         width = np.where(b > a, b - a, 1.0)
-        inner = np.where(b > a, (i + (b - x) / width) / n, i / n)
-        out = np.where(x <= d.low, 0.0, np.where(x >= d.high, 1.0, inner))
+        inner = (np.cumsum(d.weights)[i - 1] + d.weights[i] * (b - x) / width) / total
+        out = np.where(x >= d.means[-1], 1.0, np.where(x <= d.means[0], 0.0, inner))
+    elif compat or d.low == d.high:
+        out = np.where(x < d.low, 0.0, np.where(x > d.high, 1.0, 0.5))
+        if compat and d.low < d.high:
+            out = np.where(x == d.low, 0.0, np.where(x == d.high, 1.0, out))
     else:
         middle = (np.cumsum(d.weights) - d.weights / 2) / total
         out = np.interp(x, np.concatenate([[d.low], d.means, [d.high]]), np.concatenate([[0], middle, [1]]))
