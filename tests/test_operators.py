@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell import catalogue
 from tidewell.functions import ieee
 from tidewell.operators import arrays, digest, lookups, scalars, scalers
 from tidewell.operators.base import DOUBLE, LONG, STRING, Chain, Fan, Field, Function, Identity, Spread, transform
@@ -120,6 +121,15 @@ def test_digest_compat_reads_weighted_centroids(spark):
         assert abs(y - inner) < 1e-9
 
 
+def test_compat_rank_covers_every_event(spark, tmp_path):
+    x = np.random.default_rng(7).integers(0, 900, 2500) / 4.0
+    rows = [(i, float(v)) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "event_id long, value double").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.y for r in catalogue.queries()["cdf_compat_rank_all"](spark, str(tmp_path)).collect()}
+    want = {i: 0 if v <= x.min() else 1 if v >= x.max() else round((x < v).sum() / 2500, 6) for i, v in rows}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1.5e-6 for i in want)
+
+
 def test_empirical_cdf(spark):
     out = scalers.empirical_cdf(column(spark, [3.0, 1.0, 1.0, 2.0, None]), "x").orderBy("i")
     assert values(out, "cdf") == [1.0, 0.5, 0.5, 0.75, None]

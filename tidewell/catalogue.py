@@ -112,6 +112,17 @@ def cdf_compat_rank(spark, d):
     return df.select("event_id", F.round(op(F.col("value")), 6).alias("y"))
 
 
+@query(
+    "WITH e AS (SELECT event_id, value, rank() OVER (ORDER BY value) r, count(*) OVER () n, min(value) OVER () a, max(value) OVER () b FROM events) "
+    "SELECT event_id, round(CASE WHEN value <= a THEN 0 WHEN value >= b THEN 1 ELSE (r - 1) / n::DOUBLE END, 6) AS y FROM e"
+)
+def cdf_compat_rank_all(spark, d):
+    """`cdf_compat_rank` over every event. The SQL is that of single values, so the compression is the number of rows."""
+    df = read(spark, d, "events")
+    op = digest.TDigestDistribution(compression=max(1000.0, float(df.count())), compat=True).fit(df, "value")
+    return df.select("event_id", F.round(op(F.col("value")), 6).alias("y"))
+
+
 @query("SELECT event_id, round(cume_dist() OVER (ORDER BY value), 6) AS y FROM events")
 def cdf_ecdf(spark, d):
     df = read(spark, d, "events").select("event_id", "value")
