@@ -264,6 +264,15 @@ def test_quality(spark):
     assert [r.score for r in quality.score(spark, df, None).collect()] == [0.5] * 3
 
 
+def test_quality_learns_from_all_of_a_text():
+    def text(seed, poor):
+        t = words(seed, 1300)[:5000]
+        return t[:300] + "!! ".join(t[300:1000].upper().split())[:600] + t[900:] if poor else t
+
+    s = quality.Net().fit([text(k, k % 2) for k in range(80)], np.array([1.0 - k % 2 for k in range(80)]), batch=8).state()
+    assert all((quality.probability(text(k, k % 2), s) < 0.5) == (k % 2 == 1) for k in range(900, 920))
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 

@@ -5,8 +5,7 @@ is kept, a hidden layer turns these into the chunk's evidence, and the mean evid
 probability. A filter's response is read from two tables over byte pairs, made from the learned byte tables, so that a
 position costs two look-ups whatever the number of filters.
 
-Trained on a bounded sample (`max_rows` labelled rows, whole texts cut into the same chunks, at most `max_chunks` a
-text chosen evenly); applied to every byte of every text.
+Trained on a bounded sample (`max_rows` labelled rows, all of their texts' chunks); applied to every byte of every text.
 
 Defined results: a null text counts as empty, an empty text is one chunk of padding and is scored like any other;
 without labelled rows every score is 0.5. Repeated rows each get a row. Columns other than doc_id and text aren't read.
@@ -80,20 +79,19 @@ class Net:
     def parts(self):
         return [self.taps, self.w1, self.b1, self.w2, self.b2]
 
-    def fit(self, texts: list, y: np.ndarray, max_chunks: int = 6, epochs: int = 12, batch: int = 64, rate: float = 0.01) -> "Net":
+    def fit(self, texts: list, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01) -> "Net":
         if not len(y):
             return self
         self.b2[0] = float(np.log((y.mean() + 1e-2) / (1 - y.mean() + 1e-2)))
-        rows, owner = [], []
-        for k, t in enumerate(texts):
+        padded, starts, at = [], [], 0
+        for t in texts:
             raw = codes(t)
-            starts = chunk_starts(len(raw))
-            for s in starts[np.linspace(0, len(starts) - 1, min(max_chunks, len(starts))).astype(int)]:
-                piece = raw[s : s + CHUNK]
-                rows.append(np.pad(piece, (0, CHUNK - len(piece))))
-                owner.append(k)
-        x, owner = np.array(rows, np.uint8), np.array(owner)
-        bounds = np.searchsorted(owner, np.arange(len(y) + 1))
+            own = chunk_starts(len(raw))
+            padded.append(np.pad(raw, (0, own[-1] + CHUNK - len(raw))))
+            starts.append(at + own)
+            at += len(padded[-1])
+        x = np.lib.stride_tricks.sliding_window_view(np.concatenate(padded), CHUNK)  # a view: chunks are copied a block at a time
+        bounds, starts = np.cumsum([0, *map(len, starts)]), np.concatenate(starts)
         weight = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())) ** 0.5
         r = np.random.default_rng(11)
         m = [np.zeros_like(p) for p in self.parts()]
@@ -106,7 +104,7 @@ class Net:
                 take = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in docs])
                 n = bounds[docs + 1] - bounds[docs]
                 edge = np.concatenate([[0], np.cumsum(n)[:-1]])
-                grads = self._gradients(x[take], edge, n, y[docs], weight[docs])
+                grads = self._gradients(x, starts[take], edge, n, y[docs], weight[docs])
                 step += 1
                 lr = rate * (1 - 0.9 * epoch / epochs)
                 for p, g, a, b in zip(self.parts(), grads, m, v):
@@ -115,13 +113,19 @@ class Net:
                     p -= lr * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-7)
         return self
 
-    def _gradients(self, x, edge, n, y, weight):
-        k = x.shape[1] - WIDTH + 1
-        response = self.taps[0][x[:, :k]]
-        for j in range(1, WIDTH):
-            response += self.taps[j][x[:, j : j + k]]
-        at = response.argmax(1)
-        pooled = np.take_along_axis(response, at[:, None], 1)[:, 0]
+    def _gradients(self, x, starts, edge, n, y, weight):
+        k = CHUNK - WIDTH + 1
+        pooled = np.empty((len(starts), FILTERS), np.float32)
+        picked = np.empty((WIDTH, len(starts), FILTERS), np.uint8)
+        for i in range(0, len(starts), BLOCK // CHUNK):
+            own = x[starts[i : i + BLOCK // CHUNK]]
+            response = self.taps[0][own[:, :k]]
+            for j in range(1, WIDTH):
+                response += self.taps[j][own[:, j : j + k]]
+            at = response.argmax(1)
+            pooled[i : i + len(own)] = np.take_along_axis(response, at[:, None], 1)[:, 0]
+            for j in range(WIDTH):
+                picked[j, i : i + len(own)] = np.take_along_axis(own, at + j, 1)
         h = np.maximum(pooled, 0) @ self.w1 + self.b1
         z = np.maximum(h, 0)
         chunk = z @ self.w2
@@ -132,9 +136,9 @@ class Net:
         dh = dz * (h > 0)
         dp = (dh @ self.w1.T) * (pooled > 0)
         gt = np.zeros_like(self.taps)
-        f = np.broadcast_to(np.arange(pooled.shape[1]), at.shape)
+        f = np.broadcast_to(np.arange(FILTERS), pooled.shape)
         for j in range(WIDTH):
-            np.add.at(gt[j], (np.take_along_axis(x, at + j, 1), f), dp)
+            np.add.at(gt[j], (picked[j], f), dp)
         return [gt, np.maximum(pooled, 0).T @ dh, dh.sum(0), z.T @ dchunk, np.array([d.sum()], np.float32)]
 
     def state(self) -> tuple:
