@@ -115,6 +115,12 @@ def test_language(spark, docs, empty):
     assert language_id.keep_identified(docs, model).columns == docs.columns
 
 
+def test_language_bound_leaves_places_to_rare_languages(spark):
+    train = spark.createDataFrame([("de", "eins zwei drei vier")] * 20 + [("fi", "yksi yksi kaksi")], "lang string, text string")
+    assert set(language_id.fit(train, max_words=4).words) == {"drei", "yksi", "eins", "kaksi"}
+    assert set(language_id.fit(train, max_words=5).words) == {"drei", "yksi", "eins", "kaksi", "vier"}
+
+
 def test_top_k(spark):
     r = np.random.default_rng(1)
     vs = [(int(i), [float(x) for x in r.normal(size=8) * (1 + 5 * (i % 3))], "x") for i in range(90)]

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import id_mod, materialize, table
@@ -148,18 +148,21 @@ class Scorer:
 
 
 def fit(docs: DataFrame, max_words: int = 60_000, max_grams: int = 60_000) -> WordBackoff:
-    """Learn from all rows of docs(lang, text): counts cover every word; of these the `max_words` most frequent words
-    and `max_grams` most frequent n-grams make the model, which bounds what the driver collects and broadcasts."""
+    """Learn from all rows of docs(lang, text): counts cover every word; of these `max_words` words and `max_grams` n-grams
+    make the model, which bounds what the driver collects and broadcasts. They go by their best rank by frequency inside a
+    language, so that each language has its share of the places and what one doesn't need is left to the others."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counts = train.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = materialize(counts)
 
     def most(frame: DataFrame, key: str, bound: int) -> pd.DataFrame:
-        packed = frame.groupBy(key).agg(F.sum("n").alias("t"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"))
-        top = packed.orderBy(F.desc("t"), key).limit(bound)
-        return top.select(key, F.explode("m").alias("lang", "n")).toPandas()
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
+        best = frame.withColumn("r", rank).where(F.col("r") <= bound).groupBy(key).agg(F.min("r").alias("r"))
+        top = best.orderBy("r", key).limit(bound).select(key)  # `bound` words: a few MB whatever the input
+        return frame.join(F.broadcast(top), key).select(key, "lang", "n").toPandas()
 
     grams = counts.mapInPandas(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = materialize(grams)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).toPandas()
     return WordBackoff(most(counts, "word", max_words), most(grams, "gram", max_grams), totals)
 
