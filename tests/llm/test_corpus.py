@@ -288,3 +288,44 @@ def test_pipeline(spark, docs):
         if name != "packing":
             assert out.columns == docs.columns
     assert "sequence_id" in out.columns and before.count() > 0
+
+
+def test_pipeline_stages_keep_the_right_rows(spark):
+    import collections
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    base = words(50, 120, 10_000).split()
+    broken = lambda ws, n: "\n".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+    changed = lambda at: [f"other{i}y" if i in at else w for i, w in enumerate(base)]
+    texts = [broken(base, 12), broken(changed({60}), 17), broken(changed({15, 45, 75, 105}), 23), words(51, 40) + "\nLes.\n" + words(52, 40), "Les.\n\n" + words(53, 30), "Les.", None, "123 !"]
+    docs = spark.createDataFrame([(i, t, "en", ["s1", "s2"][i % 2], len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "packing":
+            mixed = docs
+        if name == "mixing":
+            copies = {r["doc_id"]: r["copies"] for r in rows(mixing.copies(docs))}
+        docs = corpus_pipeline.materialize(stage(spark, docs, ""))
+        out[name] = rows(docs)
+    assert sorted(r["doc_id"] for r in out["language_id"]) == [0, 1, 2, 3, 4, 5]
+    seen, want = [], {}
+    for i, t in enumerate(texts[:6]):
+        kept = []
+        for line in t.split("\n"):
+            s = set(line.split())
+            if not s or not any(len(s & o) * 100 >= 80 * len(s | o) for o in seen):
+                kept.append(line)
+            seen += [s] if s else []
+        if kept:
+            want[i] = "\n".join(kept)
+    assert {r["doc_id"]: r["text"] for r in out["line_dedup"]} == want and all(r["n_chars"] == len(r["text"]) for r in out["line_dedup"])
+    assert list(want) == [0, 1, 2, 3, 4] and want[4].startswith("\n")
+    shingles = {i: set(zip(*[t.lower().split()[k:] for k in range(5)])) for i, t in want.items()}
+    like = lambda i, j: 100 * len(shingles[i] & shingles[j]) >= 80 * len(shingles[i] | shingles[j])
+    assert sorted(r["doc_id"] for r in out["near_dedup"]) == [i for i in want if not any(like(i, j) for j in want if j < i)] == [0, 2, 3, 4]
+    assert collections.Counter(r["doc_id"] for r in out["mixing"]) == {i: n for i, n in copies.items() if n}
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    lengths = [(r["doc_id"], len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1) for r in rows(mixed)]
+    assert sorted((r["doc_id"], r["length"]) for r in out["packing"]) == sorted(lengths)
