@@ -10,9 +10,11 @@ Defined results: a null or empty text is one piece of length 1, the end mark. Ro
 each for itself. An empty table gives no rows. Columns other than doc_id and text aren't read.
 """
 
+import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,8 @@ from tidewell.llm.common import materialize, table
 
 #: Byte-level BPE's split into pieces, as the tokenizer's file format defines it. Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pieces whose ids a worker remembers.
-MEMO = 1_200_000
+#: Words whose ids a worker remembers.
+MEMO = 1_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,47 +39,72 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """A text's ids as little-endian unsigned 32-bit integers. Each distinct piece is encoded once and remembered."""
+    """A text's ids as little-endian unsigned 32-bit integers. Each distinct word is encoded once and remembered.
+
+    No piece that the tokenizer splits a text into goes on behind a blank, but in a run of white space with a blank inside
+    it. Texts without such a run are split at blanks, each part keeps the blank before it, and the parts' ids are the
+    text's. Other texts are split into pieces by SPLIT; texts with a special token are encoded whole.
+    """
 
     def __init__(self, spec: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)").search
         self.find = regex.compile(SPLIT).findall
-        self.memo: dict = {}
-
-    def raw(self, ids) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        self.odd = re.compile(r"\s \s|\s \Z").search
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.behind_blank: dict = {}
+        self.alone: dict = {}
+
+    def ids(self, texts: list) -> list:
+        return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, memo: dict, parts: list, before: str) -> None:
+        new = list(set().union(*parts).difference(memo))
+        # words without a line's end are encoded many at once, with one between each two
+        plain, mark = [p for p in new if p and "\n" not in p and not p[0].isspace()] if len(self.newline) == 1 else [], self.newline[0]
+        for a in range(0, len(plain), 256):
+            part = plain[a : a + 256]
+            ids = np.array(self.ids([before + f"\n{before}".join(part) + "\n"])[0])
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == mark)).tolist()
+            memo.update(zip(part, [raw[i:j] for i, j in zip([0, *[e + 4 for e in ends]], ends)]))
+        rest = [p for p in new if p not in memo]
+        memo.update(zip(rest, [i.tobytes() for i in self.ids([before + p for p in rest])]))
+
+    def run(self, texts: list) -> list:
+        out, at, firsts, rests = [None] * len(texts), [], [], []
+        for k, t in enumerate(texts):
+            if self.special(t):
+                out[k] = self.ids([t])[0].tobytes()
+                continue
+            at.append(k)
+            if self.odd(t):
+                firsts.append(self.find(t))
+                rests.append(())
+            else:
+                words = t.split(" ")
+                firsts.append(words[:1] if words[0] else ())
+                rests.append(words[1:])
+        self.learn(self.alone, firsts, "")
+        self.learn(self.behind_blank, rests, " ")
+        alone, behind_blank = self.alone.__getitem__, self.behind_blank.__getitem__
+        for k, f, r in zip(at, firsts, rests):
+            out[k] = b"".join(map(alone, f)) + b"".join(map(behind_blank, r))
+        return out
 
     def __call__(self, texts: list) -> list:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, out = self.memo, [None] * len(texts)
-        # pieces of a bounded run of texts at a time
-        i = 0
-        while i < len(texts):
+        out, i = [], 0
+        while i < len(texts):  # a bounded run of texts at a time
+            if len(self.alone) + len(self.behind_blank) > MEMO:
+                self.alone.clear()
+                self.behind_blank.clear()
             j, size = i, 0
             while j < len(texts) and (j == i or size + len(texts[j]) < 2_000_000):
                 size += len(texts[j])
                 j += 1
-            found = []
-            for k in range(i, j):
-                t = texts[k]
-                if any(s in t for s in self.special):
-                    out[k] = self.raw(self.tokenizer.encode(t, add_special_tokens=False).ids)
-                    found.append(())
-                else:
-                    found.append(self.find(t))
-            new = list({p for f in found for p in f if p not in memo})
-            for a in range(0, len(new), 20_000):
-                part = new[a : a + 20_000]
-                for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    memo[p] = self.raw(e.ids)
-            for k in range(i, j):
-                if out[k] is None:
-                    out[k] = b"".join([memo[p] for p in found[k - i]])
+            out += self.run(texts[i:j])
             i = j
         return out
 
