@@ -48,6 +48,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def carried(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """docs' columns as one struct `row`, and `more`: whatever docs' columns are called, they clash with nothing."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of `row` again, those in `changed` with new values."""
+    return df.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def id_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
