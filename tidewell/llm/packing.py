@@ -27,6 +27,8 @@ from tidewell.llm.common import materialize, table
 
 #: Byte-level BPE's split into pieces, as the tokenizer's file format defines it. Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Marks that are pieces by themselves behind a letter or digit.
+MARKS = ".,;:!?"
 #: Words whose ids a worker remembers.
 MEMO = 1_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -61,16 +63,36 @@ class Encoder:
     def ids(self, texts: list) -> list:
         return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def atoms(self, word: str) -> list:
+        """The word in parts whose ids add up to its own: at line ends and before a mark at a line's end. Empty if in doubt."""
+        out, lines = [], word.split("\n")
+        for k, line in enumerate(lines):
+            core = line[1:] if k == 0 and line[:1] == " " else line
+            if not core or core[0].isspace() or core[-1].isspace():
+                return []
+            if k:
+                out.append("\n")
+            if core[-1] in MARKS and core[-2:-1].isalnum():
+                out += (line[:-1], line[-1])
+            else:
+                out.append(line)
+        return out
+
     def learn(self, memo: dict, parts: list, before: str) -> None:
         new = list(set().union(*parts).difference(memo))
-        # words without a line's end are encoded many at once, with one between each two
-        plain, mark = [p for p in new if p and "\n" not in p and not p[0].isspace()] if len(self.newline) == 1 else [], self.newline[0]
+        known, mark = {}, self.newline[0]
+        split = [self.atoms(before + p) if len(self.newline) == 1 else [] for p in new]
+        # atoms are encoded many at once, with a line's end behind each
+        plain = list(set().union(*split).difference("\n"))
+        known["\n"] = np.array(self.newline, "<u4").tobytes()
         for a in range(0, len(plain), 256):
             part = plain[a : a + 256]
-            ids = np.array(self.ids([before + f"\n{before}".join(part) + "\n"])[0])
+            ids = np.array(self.ids(["\n".join(part) + "\n"])[0])
             raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == mark)).tolist()
-            memo.update(zip(part, [raw[i:j] for i, j in zip([0, *[e + 4 for e in ends]], ends)]))
-        rest = [p for p in new if p not in memo]
+            known.update(zip(part, [raw[i:j] for i, j in zip([0, *[e + 4 for e in ends]], ends)]))
+        get = known.__getitem__
+        memo.update((p, b"".join(map(get, s))) for p, s in zip(new, split) if s)
+        rest = [p for p, s in zip(new, split) if not s]
         memo.update(zip(rest, [i.tobytes() for i in self.ids([before + p for p in rest])]))
 
     def run(self, texts: list) -> list:
