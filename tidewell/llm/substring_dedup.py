@@ -1,15 +1,16 @@
 """Operator 9, suffix-array dedup: removes every byte covered by a string of `length` bytes that also starts earlier.
 
 Each window of `length` bytes is dealt to the smallest hash of its GRAM-byte strings; equal windows have equal hashes,
-so they meet. Runs of windows with one hash are spans; hashes that come up once in the corpus are dropped. Spans of
-equal content are one (the first counts, the others are repeats outright), and a hash with more than `hot` different
-spans is dealt again by single windows, so that no task holds all of a passage that many documents share. In each
-bucket a two-stage suffix sort and the adjacent common prefixes show which windows are equal.
-Whole texts that equal an earlier one never enter: all their bytes are repeats.
+so they meet. Runs of windows with one hash are spans; hashes that come up once in the corpus are dropped. The spans of
+a hash meet in one bucket, where a two-stage suffix sort and the adjacent common prefixes show which windows are equal.
+A hash of more than `hot` spans is first reduced to one span of each content, grouped by the bytes themselves before they
+are shuffled; has it still more than `hot`, its windows are grouped by their bytes, so that no task holds all of a passage
+that many documents share. Whole texts whose SHA-256 and size equal an earlier one's never enter: all their bytes are
+repeats.
 
 Order of starts: doc_id (null first), rows of equal doc_id as they are read, then offset. Matches never cross
 documents. Defined results: a null text is empty; a text shorter than `length` keeps everything. Repeated rows each get
-a row, the later ones with all bytes removed. Columns other than doc_id and text aren't read.
+a row, the later ones with all bytes removed. An empty table gives no rows. Columns other than doc_id and text aren't read.
 """
 
 import hashlib
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import discard, materialize, table
@@ -27,6 +28,8 @@ from tidewell.llm.suffixes import agree, suffix_order
 GRAM = 24
 #: Bytes looked at together in very long texts, and most windows in a span.
 BLOCK, SPAN = 1 << 20, 1024
+#: Stands for a null doc_id.
+LEAST = -(1 << 63)
 #: Bytes of spans that a suffix sort takes at once, about.
 BUCKET = 3_000_000
 
@@ -79,79 +82,75 @@ def spans(x: np.ndarray, length: int, codes: np.ndarray):
         yield key.view(np.int64), lo + at, hi + at, twice
 
 
+def least_id() -> Column:
+    """doc_id, the least number for null: pandas would make fractions of numbers beside nulls."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST).cast("long")).alias("doc_id")
+
+
 def rows(docs: DataFrame, length: int) -> DataFrame:
-    """Each row's v (distinct), doc_id, text's hashes, size, SHA-256 and spans."""
+    """A row for each text, with v (distinct), doc_id (null: the least), the text's hash, size and SHA-256, and for each block of a text's
+    spans a row with v and, for each span, its hash h, its place `at` (first start and windows) and whether h stands twice in it."""
     least = length
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+        names, codes, v = ["v", "doc_id", "th", "n", "sha", "h", "at", "twice"], byte_table(), TaskContext.get().partitionId() << 40
+
+        def frame(out: list) -> pd.DataFrame:
+            columns = dict(zip(names, zip(*out))) if out else {c: [] for c in names}
+            return pd.DataFrame({c: pd.array(x, "Int64") if c in ("doc_id", "th", "n") else list(x) for c, x in columns.items()})
 
-        codes, v = byte_table(), TaskContext.get().partitionId() << 40
         for b in batches:
             out = []
             for doc_id, th, text in zip(b["doc_id"], b["th"], b["text"]):
                 raw = (text or "").encode("utf-8", "replace")
-                found = list(spans(np.frombuffer(raw, np.uint8), least, codes)) if len(raw) >= least else []
-                cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
-                t2 = np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64)
-                out.append((v, doc_id, th, t2, len(raw), hashlib.sha256(raw).hexdigest(), cols[0], cols[1], cols[2], cols[3].astype(bool)))
+                out.append((v, doc_id, th, len(raw), hashlib.sha256(raw).digest(), None, None, None))
+                for h, lo, hi, twice in spans(np.frombuffer(raw, np.uint8), least, codes):
+                    out.append((v, None, None, None, None, h, lo * SPAN + hi - lo, twice))
+                    if len(out) > 10_000:
+                        yield frame(out)
+                        out = []
                 v += 1
-            frame = pd.DataFrame(out, columns=["v", "doc_id", "th", "t2", "n", "sha", "h", "lo", "hi", "twice"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
-
-    picked = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    return picked.mapInPandas(run, "v long, doc_id long, th long, t2 long, n long, sha string, h array<long>, lo array<long>, hi array<long>, twice array<boolean>")
-
+            yield frame(out)
 
-def per_text(texts: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """texts (v, doc_id, text) that have wanted spans, with these in `parts`."""
-    return texts.join(wanted.groupBy("v").agg(F.collect_list(F.struct(*columns)).alias("parts")), "v").select("v", "doc_id", "text", "parts")
-
-
-def contents(texts: DataFrame, wanted: DataFrame, length: int, single: bool) -> DataFrame:
-    """The 128-bit hash s1, s2 of each wanted span's bytes; with `single`, of each window in it by itself."""
-    size, alone = length, single
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+    return docs.select(least_id(), F.xxhash64("text").alias("th"), "text").mapInPandas(run, "v long, doc_id long, th long, n long, sha binary, h array<long>, at array<long>, twice array<boolean>")
 
-        names, out = ["h", "s1", "s2", "doc_id", "v", "lo", "hi"], []
-        for b in batches:
-            for v, doc_id, text, parts in zip(b["v"], b["doc_id"], b["text"], b["parts"]):
-                raw = text.encode("utf-8", "replace")
-                for p in parts:
-                    for lo, hi in ((k, k) for k in range(p["lo"], p["hi"] + 1)) if alone else ((p["lo"], p["hi"]),):
-                        d = xxhash.xxh3_128_digest(raw[lo : hi + size])
-                        out.append((p["h"], int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc_id, v, lo, hi))
-                if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-        if out:
-            yield pd.DataFrame(out, columns=names)
 
-    return per_text(texts, wanted, ["h", "lo", "hi"]).mapInPandas(run, "h long, s1 long, s2 long, doc_id long, v long, lo long, hi long")
+def with_texts(docs: DataFrame, heads: DataFrame, per_v: DataFrame) -> DataFrame:
+    """doc_id (null: least), text and per_v's columns of each row v of per_v; a row of docs that is repeated comes again."""
+    need = heads.select("v", "doc_id", "th").join(per_v, "v")
+    return docs.where("text is not null").select(least_id(), F.xxhash64("text").alias("th"), "text").join(need, ["doc_id", "th"]).drop("th")
 
 
-def cut_out(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes s of each wanted span, with the bucket it is dealt to."""
+def cut_out(texts: DataFrame, length: int) -> DataFrame:
+    """The bytes s of each span in `parts` of the texts (v, doc_id, text, parts), from its first start lo on."""
     size = length
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, out, held = ["bucket", "doc_id", "v", "lo", "s"], [], 0
+        names, out, held = ["h", "hot", "doc_id", "v", "lo", "s"], [], 0
         for b in batches:
             for v, doc_id, text, parts in zip(b["v"], b["doc_id"], b["text"], b["parts"]):
                 raw = text.encode("utf-8", "replace")
                 for p in parts:
-                    s = raw[p["lo"] : p["hi"] + size]
+                    lo, more = divmod(p["at"], SPAN)
+                    s = raw[lo : lo + more + size]
                     held += len(s)
-                    out.append((p["bucket"], doc_id, v, p["lo"], s))
+                    out.append((p["h"], p["hot"], doc_id, v, lo, s))
                 if held > 4_000_000:
                     yield pd.DataFrame(out, columns=names)
                     out, held = [], 0
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    return per_text(texts, wanted, ["bucket", "lo", "hi"]).mapInPandas(run, "bucket long, doc_id long, v long, lo long, s binary")
+    return texts.mapInPandas(run, "h long, hot boolean, doc_id long, v long, lo long, s binary")
+
+
+def by_bytes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (h, doc_id, v, lo, s) the first of each h and s, and of the others (v, lo, hi). Rows are grouped by the bytes
+    themselves, in part before they are shuffled."""
+    o = F.struct("doc_id", "v", "lo")
+    firsts = materialize(found.groupBy("h", "s").agg(F.min(o).alias("f")))
+    others = found.select("h", "s", o.alias("o")).join(firsts, ["h", "s"]).where("o != f").select("o.v", "o.lo", F.length("s").alias("n"))
+    return firsts.select("h", "f.*", "s"), materialize(others)
 
 
 def repeats(dealt: DataFrame, length: int) -> DataFrame:
@@ -159,7 +158,12 @@ def repeats(dealt: DataFrame, length: int) -> DataFrame:
     size = length
 
     def run(key, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["doc_id", "v", "lo"])
+        b = b.drop_duplicates(["v", "lo"]).sort_values(["doc_id", "v", "lo"], ignore_index=True)  # a repeated row's spans come twice
+        # of spans of equal bytes the first is sorted, the others are repeats outright
+        again = b["s"].duplicated().to_numpy()
+        late_v, late_lo = b["v"].to_numpy()[again], b["lo"].to_numpy()[again]
+        late_hi = late_lo + np.array([len(s) for s in b["s"][again]], np.int64) - size
+        b = b[~again]
         parts = list(b["s"])
         sizes = np.array([len(p) for p in parts])
         text = np.frombuffer(b"".join(parts), np.uint8)
@@ -175,14 +179,13 @@ def repeats(dealt: DataFrame, length: int) -> DataFrame:
         first = np.full(group[-1] + 1 if len(group) else 1, len(text), np.int64)
         np.minimum.at(first, group, order)
         late = np.sort(order[order != first[group]])
-        if not len(late):
-            return pd.DataFrame({"v": [], "lo": [], "hi": []}).astype("int64")
         own = np.searchsorted(begin, late, side="right") - 1
         at = b["lo"].to_numpy()[own] + late - begin[own]
         v = b["v"].to_numpy()[own]
-        edge = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
-        last = np.append(edge[1:], len(at)) - 1
-        return pd.DataFrame({"v": v[edge], "lo": at[edge], "hi": at[last]})
+        edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
+        last = np.append(edge[1:], len(at))[: len(edge)] - 1
+        out = {"v": (v[edge], late_v), "lo": (at[edge], late_lo), "hi": (at[last], late_hi)}
+        return pd.DataFrame({k: np.concatenate(x).astype(np.int64) for k, x in out.items()})
 
     return dealt.groupBy("bucket").applyInPandas(run, "v long, lo long, hi long")
 
@@ -190,43 +193,29 @@ def repeats(dealt: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs(doc_id, text)."""
     sig = materialize(rows(docs, length))
-    heads = materialize(sig.select("v", "doc_id", "th", "t2", "n", "sha"))
-    first = heads.groupBy("th", "t2", "n").agg(F.min(F.struct("doc_id", "v")).alias("f")).select("th", "t2", "n", F.col("f.v").alias("v"))
-    firsts = materialize(first.select("v"))
-    grams = sig.where(f"n >= {length}").join(firsts, "v", "left_semi")
-    grams = grams.select("v", F.explode(F.arrays_zip("h", "lo", "hi", "twice")).alias("g")).select("v", "g.*")
-    often = grams.groupBy("h").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("h")
-    often = materialize(often)
-    wanted = materialize(grams.join(often, "h").select("v", "h", "lo", "hi"))
+    heads = materialize(sig.where("n is not null").select("v", "doc_id", "th", "n", "sha"))
+    copies = heads.groupBy("sha", "n").agg(F.min(F.struct("doc_id", "v")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    copies = materialize(heads.join(copies, ["sha", "n"]).where(F.col("v") != F.col("f.v")).select("v"))
+    blocks = sig.where("h is not null").join(copies, "v", "left_anti")
+    grams = blocks.select("v", F.explode(F.arrays_zip("h", "at", "twice")).alias("g"))
+    often = grams.groupBy("g.h").agg(F.count("*").alias("c"), F.max("g.twice").alias("t")).where("c > 1 or t")
+    often = materialize(often.select("h", (F.col("c") > hot).alias("hot")))
+    wanted = materialize(grams.select("v", "g.h", "g.at").join(often, "h"))
     discard(sig, often)
-    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc_id")
-    need = heads.join(wanted.select("v").distinct(), "v", "left_semi").select("v", least, "th")
-    d = docs.where("text is not null").select(least, F.xxhash64("text").alias("th"), "text")
-    # rows alike in id and text are the same key: one is taken
-    texts = d.join(need, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
-    texts = materialize(texts.select("v", "doc_id", "text"))
-
-    def collapse(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of spans of equal content the first; and the others."""
-        each = found.select("h", "s1", "s2", F.struct("doc_id", "v", "lo").alias("o"), "hi")
-        least = materialize(each.groupBy("h", "s1", "s2").agg(F.min(F.struct("o", "hi")).alias("f")))
-        others = each.join(least, ["h", "s1", "s2"]).where("o != f.o").select("o.v", "o.lo", "hi")
-        return least.select("h", "s1", F.col("f.o.v").alias("v"), F.col("f.o.lo").alias("lo"), F.col("f.hi").alias("hi")), materialize(others)
-
-    spans_ = materialize(contents(texts, wanted, length, False))
+    per = wanted.groupBy("v").agg(F.collect_list(F.struct("h", "at", "hot")).alias("parts"))
+    found = materialize(cut_out(with_texts(docs, heads, per), length))
     discard(wanted)
-    own, others = collapse(spans_)
-    discard(spans_)
-    many = materialize(own.groupBy("h").agg(F.count("*").alias("c")).where(f"c > {hot}").select("h"))
-    # of the hot hashes, every different span's windows by themselves
-    windows = materialize(contents(texts, own.join(many, "h", "left_semi").select("v", "h", "lo", "hi"), length, True))
-    window, late = collapse(windows)
-    discard(windows)
-    deal = own.join(many, "h", "left_anti").withColumn("sub", F.lit(0).cast("long")).unionByName(window.withColumn("sub", F.col("s1")))
-    total = deal.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("h", "sub"), F.lit(int(total // BUCKET + 1)))
-    hits = materialize(repeats(cut_out(texts, deal.select("v", bucket.alias("bucket"), "lo", "hi"), length), length).unionByName(others).unionByName(late))
-    discard(others, late, many)
+    # hashes of many spans: one span of each content, then, where that isn't enough, one window of each
+    own, others = by_bytes(found.where("hot").drop("hot"))
+    many = materialize(own.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("h"))
+    windows = own.join(many, "h", "left_semi").select("h", "doc_id", "v", "lo", "s", F.explode(F.sequence(F.lit(0), F.length("s") - length)).alias("i"))
+    _, late = by_bytes(windows.select("h", "doc_id", "v", (F.col("lo") + F.col("i")).alias("lo"), F.substring("s", F.col("i") + 1, F.lit(length)).alias("s")))
+    deal = found.where("not hot").drop("hot").unionByName(own.join(many, "h", "left_anti"))
+    total = found.agg(F.sum(F.length("s"))).first()[0] or 0
+    deal = deal.select(F.pmod(F.xxhash64("h"), F.lit(int(total // BUCKET + 1))).alias("bucket"), "doc_id", "v", "lo", "s")
+    whole = others.unionAll(late).select("v", "lo", (F.col("lo") + F.col("n") - length).alias("hi"))
+    hits = materialize(repeats(deal, length).unionByName(whole))
+    discard(found, others, late, many)
     size = length
     cuts = hits.select("v", "lo", (F.col("hi") + size).alias("end")).groupBy("v").agg(F.collect_list(F.struct("lo", "end")).alias("cuts"))
 
@@ -248,15 +237,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataF
                 out.append((v, gone, n, kept.hexdigest()))
             yield pd.DataFrame(out, columns=["v", "gone", "spans", "kept"])
 
-    edited = texts.join(cuts, "v").mapInPandas(apply, "v long, gone long, spans long, kept string")
-    out = heads.join(firsts.withColumn("is_first", F.lit(True)), "v", "left").join(edited, "v", "left")
-    whole = F.col("is_first").isNull() & (F.col("n") >= length)  # an earlier row has the same text
+    edited = materialize(with_texts(docs, heads, cuts).mapInPandas(apply, "v long, gone long, spans long, kept string"))
+    out = heads.join(copies.withColumn("copy", F.lit(True)), "v", "left").join(edited.dropDuplicates(["v"]), "v", "left")
+    whole = F.col("copy") & (F.col("n") >= length)  # an earlier row has the same text
     return out.select(
-        "doc_id",
+        F.when(F.col("doc_id") != LEAST, F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_bytes"),
         F.when(whole, F.col("n")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(whole, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )
 
 
