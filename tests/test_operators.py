@@ -2,6 +2,7 @@
 
 import dataclasses
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -16,7 +17,9 @@ from tidewell.sources import tables
 from tidewell.streaming.fit import RunningMoments
 
 NAN, INF = math.nan, math.inf
-A, B = list("abacabdabcabd"), list("abaeeedebcabd")
+#: Keys with counts 9, 7, 7, 4 and 2: two share a count.
+KEYS = ["pine", "oak", "elm", "fir", "ash"]
+SEEN = [k for i, k in enumerate(KEYS) for _ in range((9, 7, 7, 4, 2)[i])]
 
 
 def values(df, c="y"):
@@ -49,7 +52,7 @@ def test_nan_to_num_and_clamp(spark):
     assert apply(df, scalars.NanToNum(5.0, 6.0, -6.0)) == [1.0, 5.0, 6.0, -6.0, None]
     got = apply(df, scalars.Clamp(-2.0, 2.0))
     assert got[0] == 1.0 and math.isnan(got[1]) and got[2:] == [2.0, -2.0, None]
-    assert apply(column(spark, list(range(6)), "long"), scalars.Clamp(1, 3)) == [1, 1, 2, 3, 3, 3]
+    assert apply(column(spark, [-40, 7, 12, 30, None], "long"), scalars.Clamp(7, 20)) == [7, 7, 12, 20, None]
 
 
 def test_text_of_numbers(spark):
@@ -89,12 +92,13 @@ def test_stacked_equals_single(spark):
 
 
 def test_digest(spark):
-    d = digest.sketch(column(spark, [1.0, 2.0, 4.0, 2.0]), "x")
-    assert list(digest.quantile(d, [0, 0.5, 1])) == [1, 2, 4]
-    assert np.allclose(digest.cdf(d, [1.1, 1.9, 2.0], compat=True), [0.475, 0.275, 0.25])
-    one = digest.sketch(column(spark, [2.0]), "x")
-    assert list(digest.quantile(one, [0, 0.3, 1])) == [2, 2, 2] and list(digest.cdf(one, [1, 2, 3])) == [0, 0.5, 1]
-    assert list(digest.cdf(digest.Digest.empty(), [1.0])) == [0]
+    d = digest.sketch(column(spark, [-3.0, 8.0, 8.0, 8.0, 20.0]), "x")
+    assert list(digest.quantile(d, [0, 0.5, 1])) == [-3, 8, 20]
+    # between -3 and 8 the older reading falls from two values of five to one
+    assert np.allclose(digest.cdf(d, [-1.9, 2.5, 8.0], compat=True), [0.38, 0.3, 0.2])
+    one = digest.sketch(column(spark, [-7.5]), "x")
+    assert list(digest.quantile(one, [0, 0.9, 1])) == [-7.5] * 3 and list(digest.cdf(one, [-8, -7.5, 0])) == [0, 0.5, 1]
+    assert list(digest.cdf(digest.Digest.empty(), [4.0])) == [0]
     x = np.random.default_rng(5).random(2000)
     big = digest.merge([digest.add(digest.Digest.empty(), p, 100) for p in np.split(x, 4)], 100)
     p = np.linspace(0, 1, 101)
@@ -125,7 +129,7 @@ def test_compat_rank_covers_every_event(spark, tmp_path):
     x = np.random.default_rng(7).integers(0, 900, 2500) / 4.0
     rows = [(i, float(v)) for i, v in enumerate(x)]
     spark.createDataFrame(rows, "event_id long, value double").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
-    got = {r.event_id: r.y for r in catalogue.queries()["cdf_compat_rank_all"](spark, str(tmp_path)).collect()}
+    got = {r.event_id: r.y for r in catalogue.queries()["cdf_compat_rank"](spark, str(tmp_path)).collect()}
     want = {i: 0 if v <= x.min() else 1 if v >= x.max() else round((x < v).sum() / 2500, 6) for i, v in rows}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1.5e-6 for i in want)
 
@@ -137,25 +141,60 @@ def test_empirical_cdf(spark):
 
 @pytest.mark.parametrize("ints", [False, True])
 def test_lookups(spark, ints):
-    code = {"a": 1, "b": 2, "c": -3, "d": 4, "e": 5, "f": 6}
     kind = "long" if ints else "string"
-    turn = (lambda ks: [code[k] for k in ks]) if ints else list
-    count, ratio, index = (
-        (lookups.IntCountLookup, lookups.IntRatioLookup, lookups.IntIndexLookup) if ints else (lookups.CountLookup, lookups.RatioLookup, lookups.IndexLookup)
-    )
-    df, probe = column(spark, turn(A + B), kind), column(spark, [*turn("abcdef"), None], kind)
-    assert apply(probe, count().fit(df, "x")) == [8, 7, 3, 4, 4, 0, 0]
-    assert np.allclose(apply(probe, ratio().fit(df, "x")), np.array([8, 7, 3, 4, 4, 0, 0]) / 26)
-    assert np.allclose(apply(probe, ratio(lookups.MinThreshold(5)).fit(df, "x")), np.array([8, 7, 0, 0, 0, 0, 0]) / 15)
+    as_key = (lambda k: {"pine": 70, "oak": -5, "elm": 11, "fir": 8, "ash": 900, "yew": 1}[k]) if ints else str
+    kinds = ("IntCountLookup", "IntRatioLookup", "IntIndexLookup") if ints else ("CountLookup", "RatioLookup", "IndexLookup")
+    count, ratio, index = (getattr(lookups, k) for k in kinds)
+    seen, probes = list(map(as_key, SEEN)), [as_key(k) for k in [*KEYS, "yew"]]
+    counts = Counter(seen)
+    order = sorted(counts, key=lambda k: (-counts[k], str(k)))
+    df, probe = column(spark, seen, kind), column(spark, [*probes, None], kind)
+
+    def over(least):
+        return {k: n for k, n in counts.items() if n >= least}
+
+    def ids(keys, padding=0, unknown=1):
+        free = [i for i in range(len(keys) + 2) if i not in (padding, unknown)]
+        return [dict(zip(keys, free)).get(k, unknown) for k in [*probes, None]]
+
+    assert apply(probe, count().fit(df, "x")) == [counts[k] for k in probes] + [0]
+    assert np.allclose(apply(probe, ratio().fit(df, "x")), [counts[k] / len(seen) for k in probes] + [0])
+    assert np.allclose(apply(probe, ratio(lookups.MinThreshold(7)).fit(df, "x")), [over(7).get(k, 0) / sum(over(7).values()) for k in probes] + [0])
     op = index().fit(df, "x")
-    assert apply(probe, op) == [2, 3, 6, 4, 5, 1, 1] and op.dictionary_size() == 7
-    assert apply(probe, index(padding_idx=1, unknown_idx=2).fit(df, "x")) == [0, 3, 6, 4, 5, 2, 2]
+    assert apply(probe, op) == ids(order) and op.dictionary_size() == len(counts) + 2
+    assert apply(probe, index(padding_idx=2, unknown_idx=4).fit(df, "x")) == ids(order, 2, 4)
     few = index(lookups.MinThreshold(5)).fit(df, "x")
-    assert apply(probe, few) == [2, 3, 1, 1, 1, 1, 1] and few.dictionary_size() == 4
+    assert apply(probe, few) == ids([k for k in order if k in over(5)]) and few.dictionary_size() == len(over(5)) + 2
     empty = df.where("false")
     assert apply(probe, count().fit(empty, "x")) == [0] * 7 and index().fit(empty, "x").dictionary_size() == 2
 
 
+def test_large_dictionaries_are_frozen_saved_and_loaded(spark, tmp_path):
+    n = 120_000
+    rows = spark.range(n).select(F.concat(F.lit("k"), F.col("id")).alias("k")).unionAll(spark.range(300).select(F.concat(F.lit("k"), F.col("id") * 7).alias("k")))
+    rows.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    tree = lambda: Fan([Chain(Field(None, "k", STRING), lookups.IndexLookup()), Chain(Field(None, "k", STRING), lookups.CountLookup())], into=tuple)
+    plan = FitPlan(tree())
+    plan.fit(df)
+    twice = sorted(f"k{i * 7}" for i in range(300))
+    once = sorted({f"k{i}" for i in range(n)} - set(twice))
+    want = {k: i for i, k in enumerate([*twice, *once], 2)}
+    tables.save(spark, plan, str(tmp_path / "m"))
+    spark.range(5).select(F.lit("new").alias("k")).write.mode("append").parquet(str(tmp_path / "rows"))
+    again = tables.load(spark, FitPlan(tree()), str(tmp_path / "m"))
+    for root in (plan.root, again.root):
+        got = transform(df, root, "y").select("k", "y._1", "y._2").toPandas()
+        assert list(got["_1"]) == [want[k] for k in got["k"]] and got["_2"].sum() == n + 900
+        assert root[0][1].dictionary_size() == n + 2 and root[0][1].small is None
+
+
+def test_many_keys_share_a_count(spark):
+    keys = [f"{i * 7919 % 1000:03d}" for i in range(1000)]
+    got = lookups.ranked(spark.createDataFrame([(k, 2 if k < "010" else 1) for k in keys], "key string, count long")).collect()
+    assert sorted((r.rank, r.key) for r in got) == list(enumerate(sorted(keys), 1))
+
+
 def test_ties_of_integers_go_by_text(spark):
     df = column(spark, [2, 10, 2, 10], "long")
     assert apply(df, lookups.IntIndexLookup().fit(df, "x")) == [3, 2, 3, 2]
@@ -168,26 +207,47 @@ def test_large_dictionary_is_joined(spark):
 
 
 def test_eliminators(spark):
-    make = lambda **c: spark.createDataFrame(list(c.items()), "key string, count long")
-    keys = lambda df: sorted(r.key for r in df.collect())
-    assert keys(lookups.MinThreshold(20)(make(a=19, b=20, c=21))) == ["b", "c"]
-    assert keys(lookups.RatioThreshold(0.25)(make(a=24, b=1, c=25, d=50))) == ["c", "d"]
-    assert keys(lookups.TopK(2)(make(a=1, b=2, c=3, d=4))) == ["c", "d"]
-    assert keys(lookups.TopK(3)(make(a=4, b=4, c=4, d=4))) == ["a", "b", "c"]
+    counts = {"red": 31, "tan": 4, "teal": 30, "gold": 31, "grey": 4}
+    df = spark.createDataFrame(list(counts.items()), "key string, count long")
+    keys = lambda e: sorted(r.key for r in e(df).collect())
+    assert keys(lookups.MinThreshold(30)) == ["gold", "red", "teal"] and keys(lookups.MinThreshold(31)) == ["gold", "red"]
+    assert keys(lookups.RatioThreshold(0.3)) == ["gold", "red", "teal"] and keys(lookups.RatioThreshold(0.31)) == ["gold", "red"]
+    assert keys(lookups.TopK(1)) == ["gold"] and keys(lookups.TopK(4)) == ["gold", "grey", "red", "teal"] and keys(lookups.TopK(0)) == []
     with pytest.raises(ValueError):
         lookups.TopK(-1)
 
 
 def test_ragged(spark):
-    rows = [[1, 2], [3, 4, 5], [6, 7, 8, 9], [], [10, 11, 12]]
+    r = np.random.default_rng(12)
+    rows = [r.integers(-50, 50, k).tolist() for k in (6, 0, 1, 2, 9, 0, 4)]
     df = column(spark, rows, "array<int>")
-    assert apply(df, arrays.SparseLen()) == [2, 3, 4, 0, 3]
-    assert apply(df, arrays.SparseTrunc(3)) == [r[:3] for r in rows]
-    assert apply(df, arrays.SparseTruncPad(3, 0, "int")) == [[1, 2, 0], [3, 4, 5], [6, 7, 8], [0, 0, 0], [10, 11, 12]]
-    assert apply(df, arrays.SparseMapSequences(arrays.array_sum)) == [3, 12, 30, 0, 33]
+    assert apply(df, arrays.SparseLen()) == [len(v) for v in rows]
+    assert apply(df, arrays.SparseTrunc(2)) == [v[:2] for v in rows]
+    assert apply(df, arrays.SparseTruncPad(4, -1, "int")) == [(v + [-1] * 4)[:4] for v in rows]
+    assert apply(df, arrays.SparseMapSequences(arrays.array_sum)) == [sum(v) for v in rows]
     at = arrays.sparse_indices(df, "i", "x", blocks=2).orderBy("i").collect()
-    assert [(r.begin, r.end) for r in at] == [(0, 2), (2, 5), (5, 9), (9, 9), (9, 12)]
-    assert values(arrays.sparse_values(df, "i", "x").orderBy("i", "position"), "value") == list(range(1, 13))
+    ends = np.cumsum([len(v) for v in rows]).tolist()
+    assert [(q.begin, q.end) for q in at] == list(zip([0, *ends], ends))
+    assert values(arrays.sparse_values(df, "i", "x").orderBy("i", "position"), "value") == [x for v in rows for x in v]
+
+
+def test_batch_means_in_a_plan(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 10.0)], "g string, x double")
+    tree = Chain(Field(None, "x", DOUBLE), scalers.MeanScale(batch="g"))
+    FitPlan(tree).fit(df)
+    assert (tree[1].mean, tree[1].delta) == (6.0, 9.0)
+    alone = scalers.MeanScale(batch="g").fit(df, "x")
+    assert (alone.mean, alone.delta) == (6.0, 9.0)
+
+
+@pytest.mark.parametrize("most", [3, 20_000])
+def test_exact_quantiles(spark, most):
+    r = np.random.default_rng(13)
+    for x in (r.normal(size=3001), r.integers(0, 3, 4000) / 1.0, np.full(700, 2.5), np.exp(40 * r.normal(size=2500)), r.random(1)):
+        df = column(spark, [*x.tolist(), None])
+        got = scalers.exact_quantiles(df, F.col("x"), [0.0, 0.25, 0.5, 0.9, 1.0], most, 50)
+        assert np.allclose(got, np.quantile(x, [0.0, 0.25, 0.5, 0.9, 1.0]), rtol=1e-12)
+    assert scalers.exact_quantiles(df.where("false"), F.col("x"), [0.5]) is None
 
 
 def test_composition(spark):

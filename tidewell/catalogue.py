@@ -72,6 +72,17 @@ def mean_scale_batches(spark, d):
     return scaled(read(spark, d, "orders"), scalers.MeanScale(batch="o_orderstatus"), "o_totalprice", ["o_orderkey"])
 
 
+@query(
+    "SELECT o_orderkey, round(least(greatest((o_totalprice - m) / (b - a), -0.25), 0.25), 6) AS y FROM orders, "
+    "(SELECT avg(m) m, min(a) a, max(b) b FROM (SELECT avg(o_totalprice) m, min(o_totalprice) a, max(o_totalprice) b FROM orders GROUP BY o_orderstatus))"
+)
+def mean_scale_batches_in_a_plan(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    tree = Chain(Field(None, "o_totalprice", DOUBLE), scalers.MeanScale(batch="o_orderstatus"), scalars.Clamp(-0.25, 0.25))
+    FitPlan(tree).fit(df)
+    return transform(df, tree, "y").select("o_orderkey", F.round("y", 6).alias("y"))
+
+
 @query(
     "SELECT l_orderkey, l_linenumber, "
     + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS y{i}" for i, c in enumerate(FOUR))
@@ -91,6 +102,18 @@ def robust_exact(spark, d):
     return scaled(read(spark, d, "events"), scalers.RobustScale(), "value", ["event_id"])
 
 
+@query(
+    "SELECT l_orderkey, l_linenumber, round((l_extendedprice - q[2]) / (q[3] - q[1]), 6) AS y, round((l_quantity - p[2]) / (p[3] - p[1]), 6) AS z "
+    "FROM lineitem, (SELECT quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) q, quantile_cont(l_quantity, [0.25, 0.5, 0.75]) p FROM lineitem)"
+)
+def robust_stacked(spark, d):
+    """Exact quartiles of many rows, and of a column of few different values."""
+    df = read(spark, d, "lineitem").select(*LINE, F.array("l_extendedprice", "l_quantity").alias("v"))
+    op = scalers.Stacked([scalers.RobustScale(), scalers.RobustScale()]).fit(df, "v")
+    out = transform(df, op, "z", [F.col("v")])
+    return out.select(*LINE, F.round(F.col("z")[0], 6).alias("y"), F.round(F.col("z")[1], 6).alias("z"))
+
+
 @query("SELECT true AS median_ok, true AS iqr_ok")
 def robust_approx_ok(spark, d):
     """A property, not values: the sketches' quantiles are within 1 % of the exact ones' distance."""
@@ -101,23 +124,12 @@ def robust_approx_ok(spark, d):
     return spark.createDataFrame([tuple(map(bool, ok))], "median_ok boolean, iqr_ok boolean")
 
 
-@query(
-    "WITH e AS (SELECT event_id, value, rank() OVER (ORDER BY value) r, count(*) OVER () n, min(value) OVER () a, max(value) OVER () b FROM events WHERE event_id < 1000) "
-    "SELECT event_id, round(CASE WHEN value <= a THEN 0 WHEN value >= b THEN 1 ELSE (r - 1) / n::DOUBLE END, 6) AS y FROM e"
-)
-def cdf_compat_rank(spark, d):
-    """The digest of at most 1,000 values, which keeps them all, in the older way of reading it. The limit is the regime."""
-    df = read(spark, d, "events").where("event_id < 1000")
-    op = digest.TDigestDistribution(compression=1000.0, compat=True).fit(df, "value")
-    return df.select("event_id", F.round(op(F.col("value")), 6).alias("y"))
-
-
 @query(
     "WITH e AS (SELECT event_id, value, rank() OVER (ORDER BY value) r, count(*) OVER () n, min(value) OVER () a, max(value) OVER () b FROM events) "
     "SELECT event_id, round(CASE WHEN value <= a THEN 0 WHEN value >= b THEN 1 ELSE (r - 1) / n::DOUBLE END, 6) AS y FROM e"
 )
-def cdf_compat_rank_all(spark, d):
-    """`cdf_compat_rank` over every event. The SQL is that of single values, so the compression is the number of rows."""
+def cdf_compat_rank(spark, d):
+    """The older way of reading a digest, over every event. The SQL is that of single values, so the compression is the number of rows."""
     df = read(spark, d, "events")
     op = digest.TDigestDistribution(compression=max(1000.0, float(df.count())), compat=True).fit(df, "value")
     return df.select("event_id", F.round(op(F.col("value")), 6).alias("y"))

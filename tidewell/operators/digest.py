@@ -109,7 +109,7 @@ def cdf(d: Digest, x, compat: bool = False) -> np.ndarray:
 
 
 def sketch(df: DataFrame, x: Column | str, compression: float = 1000.0, fan_in: int = 32) -> Digest:
-    """The digest of a column's values; NULL and NaN are passed over. Partial sketches meet `fan_in` at a time."""
+    """The digest of a column's values; NULL and NaN are passed over. The tasks' sketches, one each, meet in `fan_in` groups."""
     c = compression
 
     def parts(batches):
@@ -124,11 +124,8 @@ def sketch(df: DataFrame, x: Column | str, compression: float = 1000.0, fan_in:
 
     x = F.col(x) if isinstance(x, str) else x
     values = df.select(x.cast("double").alias("x")).where(~F.isnan("x") & F.col("x").isNotNull())
-    n = max(1, values.rdd.getNumPartitions())
-    rows = values.mapInPandas(parts, KIND)
-    while n > fan_in:
-        n = -(-n // fan_in)
-        rows = rows.withColumn("k", F.pmod(F.xxhash64(*[F.col(k) for k in ("low", "high", "means")]), F.lit(n))).groupBy("k").applyInPandas(joined, KIND)
+    which = F.pmod(F.xxhash64("low", "high", "means"), F.lit(fan_in))
+    rows = values.mapInPandas(parts, KIND).withColumn("k", which).groupBy("k").applyInPandas(joined, KIND)
     out = rows.collect()  # `fan_in` sketches of `compression` centroids, or so
     return merge([Digest(np.array(r["means"]), np.array(r["weights"]), r["low"], r["high"]) for r in out], c)
 

@@ -1,18 +1,19 @@
 """Dictionary encoders: a fit is a distributed count of keys, a transform a lookup.
 
-Counts stay a DataFrame (key, count). A dictionary of at most SMALL keys becomes a literal map; a larger one is joined,
-broadcast while it has at most BROADCAST keys, by shuffle beyond.
+Counts stay a DataFrame (key, count). A dictionary of at most SMALL keys becomes a literal map; a larger one is written
+once, so that a fit stays what it was, and joined: broadcast while it has at most BROADCAST keys, by shuffle beyond.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.base import DOUBLE, LONG, STRING
 from tidewell.operators.scalers import Estimator
+from tidewell.sources.store import frozen
 
 SMALL, BROADCAST = 64, 100_000
 
@@ -45,19 +46,34 @@ def TopK(k: int) -> Callable[[DataFrame], DataFrame]:  # noqa: N802
 
 
 def ranked(counts: DataFrame) -> DataFrame:
-    """counts with rank, from 1: by count, then by the key's text. Partial ranks inside ranges of counts, so that no
-    single task orders the vocabulary: keys of one count are ordered together, counts are few."""
-    per = counts.groupBy("count").agg(F.count("*").alias("m"))
-    before = per.select(F.col("count").alias("c"), (F.sum("m").over(Window.orderBy(F.desc("count"))) - F.col("m")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("count").orderBy(F.col("key").cast("string")))
-    return counts.withColumn("inside", inside).join(before, F.col("count") == F.col("c")).select("key", "count", (F.col("before") + F.col("inside")).cast("long").alias("rank"))
+    """counts with rank, from 1: by count, then by the key's text. Partitions are ranges of that order, however many keys
+    share a count; a row's rank is its place in its partition and the sizes of those before, a row a partition."""
+    order = [F.desc("count"), F.col("key").cast("string")]
+    rows = counts.select("key", "count").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = frozen(rows.withColumn("at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted(rows.groupBy(part.alias("part")).agg(F.count("*").alias("m")).collect())
+    upto = 0
+    offsets = []
+    for p, m in sizes:
+        offsets.append((p, upto))
+        upto += m
+    before = counts.sparkSession.createDataFrame(offsets, "part long, before long")
+    out = rows.withColumn("part", part).join(F.broadcast(before), "part")
+    return out.select("key", "count", (F.col("before") + place + 1).alias("rank"))
+
+
+def passing(rank, padding_idx: int, unknown_idx: int, when: Callable):
+    """The id of a rank: dense ids that pass over the two reserved ones."""
+    i = rank - 1
+    for reserved in sorted({p for p in (padding_idx, unknown_idx) if p >= 0}):
+        i = when(i >= reserved, i + 1, i)
+    return i
 
 
 def identifiers(counts: DataFrame, padding_idx: int = 0, unknown_idx: int = 1) -> DataFrame:
     """(key, id): dense ids by rank that pass over the two reserved ones."""
-    i = F.col("rank") - 1
-    for reserved in sorted({p for p in (padding_idx, unknown_idx) if p >= 0}):
-        i = F.when(i >= reserved, i + 1).otherwise(i)
+    i = passing(F.col("rank"), padding_idx, unknown_idx, lambda c, a, b: F.when(c, a).otherwise(b))
     return ranked(counts).select("key", i.cast("long").alias("id"))
 
 
@@ -83,19 +99,28 @@ class Lookup(Estimator):
         return self.finish(self.count(df, x))
 
     def finish(self, counts: DataFrame) -> "Lookup":
-        kept = self.values(self.eliminator(counts).select("key", "count"))
+        kept = self.eliminator(counts).select("key", "count")
         head = kept.limit(SMALL + 1).collect()
         if len(head) <= SMALL:
-            self.small, self.table, self.keys = {r[0]: r[1] for r in head}, None, len(head)
+            self.small, self.table, self.keys = self.few({r[0]: r[1] for r in head}), None, len(head)
         else:
-            self.small, self.table = None, kept
-            self.keys = kept.count()
+            self.hold(frozen(self.values(kept).select("key", "value")))
         return self
 
+    def hold(self, table: DataFrame) -> None:
+        """Takes a written table (key, value) for the dictionary: as a literal map if it is small."""
+        self.keys = table.count()
+        few = self.keys <= SMALL
+        self.small, self.table = ({r[0]: r[1] for r in table.collect()}, None) if few else (None, table)
+
     def values(self, counts: DataFrame) -> DataFrame:
         """(key, value)"""
         raise NotImplementedError
 
+    def few(self, counts: dict) -> dict:
+        """What `values` gives, for at most SMALL keys."""
+        raise NotImplementedError
+
     def lower(self, ctx, x):
         x, other = x.cast(self.key_kind), F.lit(self.absent).cast(self.gives)
         if self.small is not None:
@@ -116,11 +141,15 @@ class Lookup(Estimator):
         return self.keys + 2
 
     def state(self):
-        rows = sorted(self.small.items()) if self.small is not None else [tuple(r) for r in self.table.collect()]
-        return {"small": rows, "absent": self.absent, "keys": self.keys}
+        """Plain values; a large dictionary is a table of its own, `table`, which whoever saves the state writes beside it."""
+        return {"small": None if self.small is None else sorted(self.small.items()), "absent": self.absent, "keys": self.keys}
 
-    def load(self, state):
-        self.small, self.table, self.absent, self.keys = {k: v for k, v in state["small"]}, None, state["absent"], state["keys"]
+    def load(self, state, table: DataFrame | None = None):
+        self.absent, self.keys = state["absent"], state["keys"]
+        if state["small"] is None:
+            self.hold(table)
+        else:
+            self.small, self.table = {k: v for k, v in state["small"]}, None
         return self
 
 
@@ -130,6 +159,9 @@ class CountLookup(Lookup):
     def values(self, counts):
         return counts.select("key", F.col("count").alias("value"))
 
+    def few(self, counts):
+        return counts
+
 
 class RatioLookup(Lookup):
     """The key's share of the occurrences of all kept keys, 0 for others."""
@@ -140,6 +172,10 @@ class RatioLookup(Lookup):
         total = counts.agg(F.sum("count")).first()[0] or 1
         return counts.select("key", (F.col("count") / F.lit(total)).alias("value"))
 
+    def few(self, counts):
+        total = sum(counts.values()) or 1
+        return {k: n / total for k, n in counts.items()}
+
 
 class IndexLookup(Lookup):
     """The key's id: by frequency, dense, without the two reserved ids; `unknown_idx` for others."""
@@ -151,6 +187,10 @@ class IndexLookup(Lookup):
     def values(self, counts):
         return identifiers(counts, self.padding_idx, self.absent).withColumnRenamed("id", "value")
 
+    def few(self, counts):
+        order = sorted(counts, key=lambda k: (-counts[k], str(k).encode()))
+        return {k: passing(i, self.padding_idx, self.absent, lambda c, a, b: a if c else b) for i, k in enumerate(order, 1)}
+
 
 class IntCountLookup(CountLookup):
     """`keep`: a fit on no rows leaves the old dictionary."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.base import Chain, Context, Fan, Identity, Operator, Spread
 from tidewell.operators.lookups import Lookup
-from tidewell.operators.scalers import Estimator, Scaler
+from tidewell.operators.scalers import Estimator, Scaler, fit_together
 
 #: An estimator's input is the whole result of the stage's graph; or the rows as they came.
 ALL, BYPASS = -1, -2
@@ -78,19 +78,20 @@ class FitPlan:
         """Fits every estimator on the rows of df; args are the root's arguments, none if leaves are fields of df."""
         for stage in self.stages:
             ctx = Context(df)
-            columns = {}
+            columns, lowered = {}, {}
             for p in stage.paths:
-                x = args
+                x, steps = args, ()
                 for op in self.inputs[p]:
-                    x = (op.lower(ctx, *x),) if not isinstance(op, Spread) else tuple(x[0].getField(f) for f in op.fields)
+                    # estimators that share operators before them share their results, and joins
+                    steps = (*steps, id(op))
+                    if steps not in lowered:
+                        lowered[steps] = tuple(x[0].getField(f) for f in op.fields) if isinstance(op, Spread) else (op.lower(ctx, *x),)
+                    x = lowered[steps]
                 columns[p] = x[0] if len(x) == 1 else F.array(*x)
             rows = ctx.df
-            scalers = [(i, p) for i, p in enumerate(stage.paths) if isinstance(self.modules[p], Scaler)]
+            scalers = [(self.modules[p], columns[p]) for p in stage.paths if isinstance(self.modules[p], Scaler) and not self.modules[p].alone]
             if scalers:
-                wanted = [c.alias(f"{i}:{n}") for i, p in scalers for n, c in self.modules[p].aggregates(columns[p]).items()]
-                got = rows.agg(*wanted).first().asDict()
-                for i, p in scalers:
-                    self.modules[p].finish({n.partition(":")[2]: v for n, v in got.items() if n.startswith(f"{i}:")})
+                fit_together(rows, scalers)
             for kind in ("string", "bigint"):
                 own = [(i, p) for i, p in enumerate(stage.paths) if isinstance(self.modules[p], Lookup) and self.modules[p].key_kind.simpleString() == kind]
                 if len(own) == 1:
@@ -100,7 +101,8 @@ class FitPlan:
                     counts = rows.select(each.alias("e")).select("e.*").where("key is not null").groupBy("at", "key").agg(F.count("*").alias("count")).persist()
                     for i, p in own:
                         self.modules[p].finish(counts.where(F.col("at") == i).select("key", "count"))
+                    counts.unpersist()
             for p in stage.paths:
-                if not isinstance(self.modules[p], (Scaler, Lookup)):
+                if not isinstance(self.modules[p], (Scaler, Lookup)) or isinstance(self.modules[p], Scaler) and self.modules[p].alone:
                     self.modules[p].fit(rows, columns[p])
         return self.root

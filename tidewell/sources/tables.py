@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewell.plans.fit import FitPlan
 
@@ -15,16 +14,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def save(spark: SparkSession, plan: FitPlan, path: str) -> None:
-    """A row for each estimator: its path in the tree, its kind and its state."""
+    """A row for each estimator: its path in the tree, its kind and its state; large dictionaries as tables beside it."""
     rows = [(p, type(op).__name__, json.dumps(op.state())) for p, op in plan.modules.items()]
-    spark.createDataFrame(rows, "path string, kind string, state string").coalesce(1).write.mode("overwrite").parquet(path)
+    for p, op in plan.modules.items():
+        if getattr(op, "table", None) is not None:
+            op.table.write.mode("overwrite").parquet(f"{path}/dictionary-{p}")
+    states = spark.createDataFrame(rows, "path string, kind string, state string")
+    states.coalesce(1).write.mode("overwrite").parquet(f"{path}/estimators")
 
 
 def load(spark: SparkSession, plan: FitPlan, path: str) -> FitPlan:
     """Puts saved states into a tree of the same shape."""
-    for r in spark.read.parquet(path).orderBy(F.col("path")).collect():  # a row for each estimator
-        op = plan.modules[r["path"]]
+    for r in spark.read.parquet(f"{path}/estimators").orderBy("path").collect():  # a row for each estimator
+        op, state = plan.modules[r["path"]], json.loads(r["state"])
         if type(op).__name__ != r["kind"]:
             raise ValueError(f"{r['path']} was a {r['kind']}, is a {type(op).__name__}")
-        op.load(json.loads(r["state"]))
+        if "small" in state and state["small"] is None:
+            op.load(state, spark.read.parquet(f"{path}/dictionary-{r['path']}"))
+        else:
+            op.load(state)
     return plan
