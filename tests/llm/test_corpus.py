@@ -228,7 +228,7 @@ def test_images_rule_out_nothing_similar():
 
 
 def test_substring_dedup(docs, empty):
-    got = rows(substring_dedup.remove_repeats(docs, 100, hot=3))
+    got = rows(substring_dedup.remove_repeats(docs, 100, bucket=900))
     seen, want = set(), []
     for _, t in sorted(((-1 if r[0] is None else r[0], r[1]) for r in corpus()), key=lambda p: p[0]):
         b = (t or "").encode()

@@ -1,12 +1,12 @@
 """Operator 9, suffix-array dedup: removes every byte covered by a string of `length` bytes that also starts earlier.
 
 Each window of `length` bytes is dealt to the smallest hash of its GRAM-byte strings; equal windows have equal hashes,
-so they meet. Runs of windows with one hash are spans; hashes that come up once in the corpus are dropped. The spans of
-a hash meet in one bucket, where a two-stage suffix sort and the adjacent common prefixes show which windows are equal.
-A hash of more than `hot` spans is first reduced to one span of each content, grouped by the bytes themselves before they
-are shuffled; has it still more than `hot`, its windows are grouped by their bytes, so that no task holds all of a passage
-that many documents share. Whole texts whose SHA-256 and size equal an earlier one's never enter: all their bytes are
-repeats.
+so they meet. Runs of windows with one hash are spans; hashes that come up once in the corpus are dropped. Of spans of
+equal bytes the first is left, grouped by the bytes themselves before they are shuffled; the others are repeats outright.
+What is left of a hash meets in one bucket, where a two-stage suffix sort and the adjacent common prefixes show which
+windows are equal. A hash whose different spans fill more than a bucket has its windows grouped by their bytes instead, so
+that no task holds all of a passage that many documents share. Whole texts whose SHA-256 and size equal an earlier one's
+never enter: all their bytes are repeats.
 
 Order of starts: doc_id (null first), rows of equal doc_id as they are read, then offset. Matches never cross
 documents. Defined results: a null text is empty; a text shorter than `length` keeps everything. Repeated rows each get
@@ -14,6 +14,7 @@ a row, the later ones with all bytes removed. An empty table gives no rows. Colu
 """
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,11 +123,13 @@ def with_texts(docs: DataFrame, heads: DataFrame, per_v: DataFrame) -> DataFrame
 
 
 def cut_out(texts: DataFrame, length: int) -> DataFrame:
-    """The bytes s of each span in `parts` of the texts (v, doc_id, text, parts), from its first start lo on."""
+    """The bytes s of each span in `parts` of the texts (v, doc_id, text, parts), from its first start lo on, and their digest d1, d2."""
     size = length
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, out, held = ["h", "hot", "doc_id", "v", "lo", "s"], [], 0
+        import xxhash
+
+        names, out, held = ["h", "d1", "d2", "doc_id", "v", "lo", "s"], [], 0
         for b in batches:
             for v, doc_id, text, parts in zip(b["v"], b["doc_id"], b["text"], b["parts"]):
                 raw = text.encode("utf-8", "replace")
@@ -134,23 +137,26 @@ def cut_out(texts: DataFrame, length: int) -> DataFrame:
                     lo, more = divmod(p["at"], SPAN)
                     s = raw[lo : lo + more + size]
                     held += len(s)
-                    out.append((p["h"], p["hot"], doc_id, v, lo, s))
+                    out.append((p["h"], *struct.unpack(">qq", xxhash.xxh3_128_digest(s)), doc_id, v, lo, s))
                 if held > 4_000_000:
                     yield pd.DataFrame(out, columns=names)
                     out, held = [], 0
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    return texts.mapInPandas(run, "h long, hot boolean, doc_id long, v long, lo long, s binary")
+    return texts.mapInPandas(run, "h long, d1 long, d2 long, doc_id long, v long, lo long, s binary")
 
 
 def by_bytes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (h, doc_id, v, lo, s) the first of each h and s, and of the others (v, lo, hi). Rows are grouped by the bytes
-    themselves, in part before they are shuffled."""
+    """Of rows (h, d1, d2, doc_id, v, lo, s) the first of each h and s, and of the others (v, lo, n). Rows are grouped by the
+    bytes themselves, in part before they are shuffled. The others are found by digest if that says the same: if no
+    two groups have one."""
     o = F.struct("doc_id", "v", "lo")
-    firsts = materialize(found.groupBy("h", "s").agg(F.min(o).alias("f")))
-    others = found.select("h", "s", o.alias("o")).join(firsts, ["h", "s"]).where("o != f").select("o.v", "o.lo", F.length("s").alias("n"))
-    return firsts.select("h", "f.*", "s"), materialize(others)
+    firsts = materialize(found.groupBy("h", "d1", "d2", "s").agg(F.min(o).alias("f")))
+    keys = ["h", "d1", "d2"]
+    keys = keys if firsts.groupBy(*keys).count().where("count > 1").isEmpty() else [*keys, "s"]
+    others = found.select(*keys, o.alias("o"), F.length("s").alias("n")).join(firsts.select(*keys, "f"), keys).where("o != f")
+    return firsts, materialize(others.select("o.v", "o.lo", "n"))
 
 
 def repeats(dealt: DataFrame, length: int) -> DataFrame:
@@ -158,12 +164,7 @@ def repeats(dealt: DataFrame, length: int) -> DataFrame:
     size = length
 
     def run(key, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.drop_duplicates(["v", "lo"]).sort_values(["doc_id", "v", "lo"], ignore_index=True)  # a repeated row's spans come twice
-        # of spans of equal bytes the first is sorted, the others are repeats outright
-        again = b["s"].duplicated().to_numpy()
-        late_v, late_lo = b["v"].to_numpy()[again], b["lo"].to_numpy()[again]
-        late_hi = late_lo + np.array([len(s) for s in b["s"][again]], np.int64) - size
-        b = b[~again]
+        b = b.sort_values(["doc_id", "v", "lo"])
         parts = list(b["s"])
         sizes = np.array([len(p) for p in parts])
         text = np.frombuffer(b"".join(parts), np.uint8)
@@ -184,13 +185,12 @@ def repeats(dealt: DataFrame, length: int) -> DataFrame:
         v = b["v"].to_numpy()[own]
         edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
         last = np.append(edge[1:], len(at))[: len(edge)] - 1
-        out = {"v": (v[edge], late_v), "lo": (at[edge], late_lo), "hi": (at[last], late_hi)}
-        return pd.DataFrame({k: np.concatenate(x).astype(np.int64) for k, x in out.items()})
+        return pd.DataFrame({"v": v[edge], "lo": at[edge], "hi": at[last]}).astype("int64")
 
     return dealt.groupBy("bucket").applyInPandas(run, "v long, lo long, hi long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs(doc_id, text)."""
     sig = materialize(rows(docs, length))
     heads = materialize(sig.where("n is not null").select("v", "doc_id", "th", "n", "sha"))
@@ -198,24 +198,27 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataF
     copies = materialize(heads.join(copies, ["sha", "n"]).where(F.col("v") != F.col("f.v")).select("v"))
     blocks = sig.where("h is not null").join(copies, "v", "left_anti")
     grams = blocks.select("v", F.explode(F.arrays_zip("h", "at", "twice")).alias("g"))
-    often = grams.groupBy("g.h").agg(F.count("*").alias("c"), F.max("g.twice").alias("t")).where("c > 1 or t")
-    often = materialize(often.select("h", (F.col("c") > hot).alias("hot")))
+    often = grams.groupBy("g.h").agg(F.count("*").alias("c"), F.max("g.twice").alias("t")).where("c > 1 or t").select("h")
+    often = materialize(often)
     wanted = materialize(grams.select("v", "g.h", "g.at").join(often, "h"))
     discard(sig, often)
-    per = wanted.groupBy("v").agg(F.collect_list(F.struct("h", "at", "hot")).alias("parts"))
+    per = wanted.groupBy("v").agg(F.collect_list(F.struct("h", "at")).alias("parts"))
     found = materialize(cut_out(with_texts(docs, heads, per), length))
     discard(wanted)
-    # hashes of many spans: one span of each content, then, where that isn't enough, one window of each
-    own, others = by_bytes(found.where("hot").drop("hot"))
-    many = materialize(own.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("h"))
-    windows = own.join(many, "h", "left_semi").select("h", "doc_id", "v", "lo", "s", F.explode(F.sequence(F.lit(0), F.length("s") - length)).alias("i"))
-    _, late = by_bytes(windows.select("h", "doc_id", "v", (F.col("lo") + F.col("i")).alias("lo"), F.substring("s", F.col("i") + 1, F.lit(length)).alias("s")))
-    deal = found.where("not hot").drop("hot").unionByName(own.join(many, "h", "left_anti"))
-    total = found.agg(F.sum(F.length("s"))).first()[0] or 0
-    deal = deal.select(F.pmod(F.xxhash64("h"), F.lit(int(total // BUCKET + 1))).alias("bucket"), "doc_id", "v", "lo", "s")
+    own, others = by_bytes(found)
+    discard(found)
+    # hashes whose different spans fill more than a bucket: their windows
+    many = materialize(own.groupBy("h").agg(F.sum(F.length("s")).alias("n")).where(F.col("n") > bucket).select("h"))
+    windows = own.join(many, "h", "left_semi").select("h", "f", "s", F.explode(F.sequence(F.lit(0), F.length("s") - length)).alias("i"))
+    w = F.substring("s", F.col("i") + 1, F.lit(length))
+    windows = windows.select("h", F.xxhash64(w).alias("d1"), F.xxhash64(F.lit(7), w).alias("d2"), "f.doc_id", "f.v", (F.col("f.lo") + F.col("i")).alias("lo"), w.alias("s"))
+    singles, late = by_bytes(windows)
+    deal = own.join(many, "h", "left_anti")
+    total = deal.agg(F.sum(F.length("s"))).first()[0] or 0
+    deal = deal.select(F.pmod(F.xxhash64("h"), F.lit(int(total // bucket + 1))).alias("bucket"), "f.*", "s")
     whole = others.unionAll(late).select("v", "lo", (F.col("lo") + F.col("n") - length).alias("hi"))
     hits = materialize(repeats(deal, length).unionByName(whole))
-    discard(found, others, late, many)
+    discard(own, others, singles, late, many)
     size = length
     cuts = hits.select("v", "lo", (F.col("hi") + size).alias("end")).groupBy("v").agg(F.collect_list(F.struct("lo", "end")).alias("cuts"))
 
