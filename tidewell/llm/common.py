@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.store import shared_folder
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,23 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set (tests)."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation.
 
     The shuffle files of what was written are then of no use; a garbage collection on the driver lets Spark delete them.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/tidewell-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidewell-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ whole text, with the languages' prior, give the language and its posterior proba
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text if nothing could be
 learned (no training row). Rows with a null doc_id can be scored but aren't learned from. Repeated rows each get a row.
-Other columns than those named are left out of the reading, so clashing names don't matter.
+Other columns, whatever their names, are carried along by `keep_identified` and not read otherwise.
 """
 
 import re
@@ -18,13 +18,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import id_mod, materialize, table
+from tidewell.llm.common import carried, id_mod, materialize, table, unpacked
 
+#: Runs of letters; with a few signs among them that count as numbers, which `letters` takes out.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Distinct (language, word) counts that a task holds before it hands them on.
 FLUSH = 400_000
-#: Words that a scorer remembers beside the model's.
-MEMO = 200_000
+#: Words that a scorer remembers beside the model's; words of a text, and of all texts, that it looks up at once.
+MEMO, PART, PARTS = 200_000, 20_000, 100_000
+#: Texts scored together.
+TEXTS = 256
+
+
+def letters(text: str) -> list:
+    """The text's words, in lower case: runs of characters of the letter categories."""
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
 
 
 def _grams(word: str, n: int):
@@ -42,7 +53,7 @@ def _count_words(batches):
 
     for b in batches:
         for lang, text in zip(b["lang"], b["text"]):
-            held.update([(lang, w) for w in LETTERS.findall(text.lower())])
+            held.update([(lang, w) for w in letters(text)])
             if len(held) > FLUSH:
                 yield out()
     if held:
@@ -102,19 +113,24 @@ class Scorer:
         self.known = len(self.words)
         self.reset()
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean over the word's positions of the longest known n-gram's log frequency, in words of an unseen kind."""
-        padded, get = f"\x02{word}\x03", self.grams.get
-        rows = []
-        for i in range(1, len(padded) - 1):
-            r = get(padded[i - 1 : i + 2])
-            if r is None:
-                r = get(padded[i : i + 2])
-            if r is None:
-                r = get(padded[i])
-            if r is not None:
-                rows.append(r)
-        return self.gram_logs[rows].mean(0) if rows else np.zeros(len(self.langs), np.float32)
+    def unseen(self, words: list) -> np.ndarray:
+        """For each word the mean over its positions of the longest known n-gram's log frequency; zeros where none is known."""
+        get, rows, sizes = self.grams.get, [], []
+        for w in words:
+            p = f"\x02{w}\x03"
+            own = [get(p[i : i + 3]) for i in range(len(w))]
+            if None in own:
+                own = [r if r is not None else get(p[i + 1 : i + 3], get(p[i + 1])) for i, r in enumerate(own)]
+                own = [r for r in own if r is not None]
+            rows += own
+            sizes.append(len(own))
+        sizes = np.array(sizes)
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        known = np.flatnonzero(sizes)
+        if len(known):
+            ends = np.cumsum(sizes[known])
+            out[known] = np.add.reduceat(self.gram_logs[rows], ends - sizes[known], axis=0) / sizes[known, None]
+        return out
 
     def reset(self):
         self.at = dict(self.words)
@@ -122,29 +138,41 @@ class Scorer:
         self.logs[: self.known] = self.word_logs
         self.n = self.known
 
-    def row(self, word: str) -> int:
-        if self.n >= len(self.logs):
-            return -1
-        self.at[word] = k = self.n
-        self.logs[k] = self.unseen(word)
-        self.n += 1
-        return k
-
-    def __call__(self, text) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.langs:
-            return "und", 0.0
-        if self.n + 50_000 > len(self.logs):
+    def learn(self, parts: list) -> None:
+        """Notes the logs of the words in parts that are new. Words are few: PART for each of parts."""
+        new = list(set().union(*parts).difference(self.at))
+        if self.n + len(new) > len(self.logs):
             self.reset()
-        total, at = self.prior.astype(np.float64).copy(), self.at
-        for i in range(0, len(words), 20_000):  # a part at a time: memory holds for texts of any length
-            rows = [at[w] if w in at else self.row(w) for w in words[i : i + 20_000]]
-            total += self.logs[rows].sum(0, dtype=np.float64)
-            if self.n + 20_000 > len(self.logs):
-                self.reset()
-                at = self.at
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+            new = list(set().union(*parts).difference(self.at))
+        self.logs[self.n : self.n + len(new)] = self.unseen(new)
+        self.at.update(zip(new, range(self.n, self.n + len(new))))
+        self.n += len(new)
+
+    def __call__(self, texts: list) -> list:
+        """(language, probability) of each text. Parts of at most PART words are looked up together, PARTS words or so at a time."""
+        out, sums = [], []
+        todo = [(k, words[i : i + PART]) for k, words in enumerate(letters(t) if t else [] for t in texts) for i in range(0, len(words), PART)]
+        sums = [None] * len(texts)
+        i = 0
+        while i < len(todo) and self.langs:
+            j, size = i, 0
+            while j < len(todo) and (j == i or size + len(todo[j][1]) <= PARTS):
+                size += len(todo[j][1])
+                j += 1
+            self.learn([w for _, w in todo[i:j]])
+            place = self.at.__getitem__
+            for k, w in todo[i:j]:
+                total = self.logs[list(map(place, w))].sum(0, dtype=np.float64)
+                sums[k] = total if sums[k] is None else sums[k] + total
+            i = j
+        for total in sums:
+            if total is None:
+                out.append(("und", 0.0))
+                continue
+            total = total + self.prior
+            best = int(total.argmax())
+            out.append((self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())))
+        return out
 
 
 def fit(docs: DataFrame, max_words: int = 60_000, max_grams: int = 60_000) -> WordBackoff:
@@ -167,17 +195,18 @@ def fit(docs: DataFrame, max_words: int = 60_000, max_grams: int = 60_000) -> Wo
     return WordBackoff(most(counts, "word", max_words), most(grams, "gram", max_grams), totals)
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: WordBackoff) -> DataFrame:
-    """docs' doc_id and text with lang_pred and score; columns doc_id, text, lang_pred, score."""
+def predict(spark: SparkSession, docs: DataFrame, model: WordBackoff, name: str = "_p") -> DataFrame:
+    """docs with a struct of lang_pred and score, by the name given."""
     sent = spark.sparkContext.broadcast(model.state())
 
     @F.pandas_udf("lang_pred string, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         s = Scorer(sent.value)
         for texts in batches:
-            yield pd.DataFrame([s(t) for t in texts], columns=["lang_pred", "score"])
+            each = list(texts)
+            yield pd.DataFrame([p for i in range(0, len(each), TEXTS) for p in s(each[i : i + TEXTS])], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_p", score(F.col("text")))
+    return docs.withColumn(name, score(F.col("text")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,5 +218,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: WordBackoff, min_score: float = 0.5) -> DataFrame:
     """docs without the rows whose language can't be told: `und`, or a posterior under min_score."""
-    out = predict(docs.sparkSession, docs, model)
-    return out.where((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = predict(docs.sparkSession, carried(docs, "text"), model, "found")
+    return unpacked(out.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= min_score)), docs.columns)

@@ -16,7 +16,7 @@ a source of no words gets target 0. Repeated rows are rounded each for itself. A
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD, materialize, table
+from tidewell.llm.common import WORD, carried, materialize, table, unpacked
 
 
 def targets(items: DataFrame, weights: tuple, cap: float, share: float) -> DataFrame:
@@ -99,8 +99,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as the mix takes it. Of rows alike in id, source and text, one stands for all of them."""
     taken = copies(docs.select("doc_id", "source", "text"), **how)
-    total = taken.where("copies > 0").groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("_times"))
-    total = total.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("h").alias("_h"), "_times")
-    same = docs["doc_id"].eqNullSafe(total["_d"]) & docs["source"].eqNullSafe(total["_s"]) & (F.xxhash64(docs["text"]) == total["_h"])
-    once = docs.join(total, same).dropDuplicates(["_d", "_s", "_h"])
-    return once.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    total = taken.where("copies > 0").groupBy("doc_id", "source", "h").agg(F.sum("copies").cast("int").alias("times"))
+    rows = carried(docs, F.col("doc_id").alias("d"), F.col("source").alias("s"), F.xxhash64("text").alias("x"))
+    same = rows["d"].eqNullSafe(total["doc_id"]) & rows["s"].eqNullSafe(total["source"]) & (rows["x"] == total["h"])
+    once = rows.join(total, same).dropDuplicates(["d", "s", "x"])
+    return unpacked(once.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i")), docs.columns)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import discard, materialize, table
+from tidewell.llm.common import carried, discard, materialize, table, unpacked
 from tidewell.llm.graph import components
 
 #: Keys of the two collections, and minhashes in each key of them.
@@ -161,11 +161,10 @@ def pivot_pairs(alive: DataFrame, reps: DataFrame, percent: int, best: bool) ->
 def minor_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b), a > b, of different components: of rows (ka, v, n, part, main) those outside their bucket's
     main component with all others. A pair comes up in the first bucket that it shares, and in no other."""
-    small = lambda c: F.transform(c, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-    rows = rows.join(reps.select("v", small("ka").alias("fa"), small("kb").alias("fb"), "bits"), "v")
+    rows = rows.join(reps.select("v", F.col("ka").alias("fa"), F.col("kb").alias("fb"), "bits"), "v")
     left, right = (rows.select("ka", *[F.col(c).alias(f"{c}_{x}") for c in ("v", "n", "part", "main", "fa", "fb", "bits")]) for x in "ab")
     once = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_b")) | (F.col("v_a") > F.col("v_b"))) & close("n_a", "n_b", percent)
-    first = F.get(F.array_intersect("fa_a", "fa_b"), F.lit(0)) == F.col("ka").bitwiseAND(0x7FFFFFFF).cast("int")
+    first = F.get(F.array_intersect("fa_a", "fa_b"), F.lit(0)) == F.col("ka")
     met = left.where("part_a != main_a").join(right, "ka").where(once & alike("bits_a", "bits_b", "n_a", "n_b", percent) & first & F.arrays_overlap("fb_a", "fb_b"))
     return met.select(F.greatest("v_a", "v_b").alias("a"), F.least("v_a", "v_b").alias("b")).distinct()
 
@@ -258,7 +257,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest doc_id. Of rows alike in id and text one stays."""
     found = link(docs.select("doc_id", "text"), k, percent)
-    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("n_shingles").alias("_n")).distinct()
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "th").distinct()
+    rows = carried(docs, F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("x"))
     # rows of an id that occurs once, as ids should, need no further look: dropDuplicates works on what is kept
-    kept = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_d"]) & (F.xxhash64(docs["text"]) == found["_h"]))
-    return kept.dropDuplicates(["_d", "_h"]).select(*[docs[c] for c in docs.columns])
+    kept = rows.join(found, rows["d"].eqNullSafe(found["doc_id"]) & (rows["x"] == found["th"])).dropDuplicates(["d", "x"])
+    return unpacked(kept, docs.columns)

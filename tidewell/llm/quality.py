@@ -8,7 +8,8 @@ position costs two look-ups whatever the number of filters.
 Trained on a bounded sample (`max_rows` labelled rows, all of their texts' chunks); applied to every byte of every text.
 
 Defined results: a null text counts as empty, an empty text is one chunk of padding and is scored like any other;
-without labelled rows every score is 0.5. Repeated rows each get a row. Columns other than doc_id and text aren't read.
+without labelled rows every score is 0.5. Repeated rows each get a row; an empty table
+gives no rows. Columns other than doc_id and text aren't read.
 """
 
 from collections.abc import Iterator
@@ -158,7 +159,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
 
 
 def score(spark: SparkSession, docs: DataFrame, net: Net | None) -> DataFrame:
-    """docs with a column `score`."""
+    """docs with a column `score`, which replaces one of docs."""
     if net is None:
         return docs.withColumn("score", F.lit(0.5))
     sent = spark.sparkContext.broadcast(net.state())

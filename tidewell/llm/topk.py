@@ -10,7 +10,7 @@ gives the thresholds with which blocks are passed over. Each meeting returns at
 
 Defined results: a vector that is null, empty or holds a null or non-finite component takes no part, nor does a row
 with a null id. Vectors of different numbers of components are not compared. Rows alike in id and vector count once,
-rows of the query's own id are no candidates. Products must stay below 2^53 to be exact.
+rows of the query's own id are no candidates. Products must stay below 2^53 to be exact. An empty table gives no rows.
 """
 
 import numpy as np
@@ -113,8 +113,8 @@ def meet(queries: DataFrame, candidates: DataFrame, keys: list[str], k: int) ->
 def top_k(rows: DataFrame, is_query, k: int = 20, levels: int = 16) -> DataFrame:
     """query_id, rank, vec_id, score for the rows that satisfy is_query (a condition on vec_id), against all rows."""
     v = materialize(integers(rows))
-    counted = v.agg(F.count("*"), F.percentile_approx("norm", [i / levels for i in range(1, levels)], 1000)).first()
-    n, cuts = counted[0], sorted(set(counted[1] or []))
+    counted = v.agg(F.percentile_approx("norm", [i / levels for i in range(1, levels)], 1000)).first()
+    cuts = sorted(set(counted[0] or []))
     level = F.lit(0)
     for c in cuts:  # the longest vectors have level 0
         level = level + (F.col("norm") < F.lit(c)).cast("int")
@@ -125,11 +125,12 @@ def top_k(rows: DataFrame, is_query, k: int = 20, levels: int = 16) -> DataFrame
     dealt = materialize(sized.join(F.broadcast(sizes), ["level", "dim"]).withColumn("block", block).drop("c"))
     blocks = dealt.groupBy("level", "dim", "block").agg(F.max("norm").alias("longest"))  # a row for each 16,384 vectors or level
     q = v.withColumnRenamed("id", "vec_id").where(is_query).withColumnRenamed("vec_id", "id")
-    q = q.withColumn("qh", F.xxhash64("x")).withColumn("qb", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(max(1, -(-n // 20 // QUERIES)))))
+    blocks_of_q = max(1, -(-q.count() // QUERIES))
+    q = q.withColumn("qh", F.xxhash64("x")).withColumn("qb", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(blocks_of_q)))
     # first round: against one block of the longest vectors
-    head = dealt.where("level = 0 and block = 0").select("id", "x", "dim").withColumn("one", F.lit(1))
-    each = q.select("qb").distinct()
-    first = meet(q.withColumn("floor", F.lit(None).cast("double")), head.join(each, F.col("one") == 1), ["qb", "dim"], k)
+    head = dealt.where("level = 0 and block = 0").select("id", "x", "dim")
+    head = head.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_of_q - 1).cast("long"))))  # one block for each query block
+    first = meet(q.withColumn("floor", F.lit(None).cast("double")), head, ["qb", "dim"], k)
     first = materialize(first)
     floors = first.groupBy("query_id", "qh").agg(F.count("*").alias("c"), F.min("score").alias("s")).where(f"c >= {k}")
     floors = floors.select(F.col("query_id").alias("id"), "qh", F.col("s").cast("double").alias("floor"))

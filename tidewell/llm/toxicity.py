@@ -6,16 +6,18 @@ presence in toxic against other labelled texts. Exception phrases (a term with a
 harmless texts) cancel the matches inside them. The summed weights, also divided by the text's length, go through a
 fitted logistic curve.
 
-The lexicon is learned from a bounded sample (`max_rows` labelled rows, whole texts) and holds at most `max_terms`
-terms; every whole text is scored, cut for matching into overlapping pieces so that memory stays bounded.
+The lexicon is learned from a bounded sample (`max_rows` labelled rows, whole texts); every whole text is scored, in pieces
+that overlap by the words that an exception phrase can hold, so that memory stays bounded and no border changes a score.
 
 Defined results: a null text counts as empty; an empty text has no match and gets the curve's value at zero; without
-labelled rows every score is 0. Repeated rows each get a row. Columns other than doc_id and text aren't read.
+labelled rows every score is 0. Repeated rows each get a row; an empty table gives no rows. Columns other than doc_id and text aren't read.
 """
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -78,35 +80,54 @@ def automaton(terms: dict, exceptions: dict):
     return a
 
 
-def evidence(text, table: dict, a) -> tuple[float, int]:
-    """(sum of the weights matched, number of words) of a whole text. Of terms that share a start the heaviest counts."""
-    total, words, text = 0.0, 0, text or ""
+def pieces(text: str, table: dict) -> Iterator[list]:
+    """The folded words of a text, some PIECE characters at a time. Pieces end where no word goes on."""
     at = 0
     while at < len(text):
         end = min(len(text), at + PIECE)
-        while end < len(text) and end < at + 2 * PIECE and not text[end].isspace():  # pieces end between words
+        while end < len(text) and not text[end].isspace() and table.get(ord(text[end])) != " ":
             end += 1
-        s = fold(text[at:end], table)
-        words += s.count(" ") - 1
-        best, spared = {}, []
-        if len(a):
-            for stop, (n, w) in a.iter(s):
-                start = stop - n + 1
-                if w is None:
-                    spared.append((start, stop))
-                else:
-                    best[start] = max(w, best.get(start, 0.0))
-        total += sum(w for k, w in best.items() if not any(x <= k < y for x, y in spared))
+        yield text[at:end].translate(table).split()
         at = end
-    return total, words
+
+
+def matched(words: list, a, first: int, last: int) -> float:
+    """Sum of the weights matched in words[first:last]. Of terms that share a start the heaviest counts, those inside an exception don't."""
+    s = f" {' '.join(words)} "
+    from_, to = (sum(map(len, words[:k])) + k for k in (first, last))
+    best, spared = {}, []
+    for stop, (n, w) in a.iter(s):
+        start = stop - n + 1
+        if w is None:
+            spared.append((start, stop))
+        elif from_ <= start < to:
+            best[start] = max(w, best.get(start, 0.0))
+    spared.sort()
+    starts, reach = [x for x, _ in spared], list(accumulate((y for _, y in spared), max))
+    return sum(w for k, w in best.items() if not (i := bisect_right(starts, k)) or reach[i - 1] <= k)
+
+
+def evidence(text, table: dict, a) -> tuple[float, int]:
+    """(sum of the weights matched, number of words) of a whole text. Each piece is read with two words before and two behind it."""
+    total, n, words, first = 0.0, 0, [], 0
+    for new in pieces(text or "", table):
+        n += len(new)
+        words += new
+        if len(a) and len(words) > first + 2:
+            total += matched(words, a, first, len(words) - 2)
+            words = words[max(0, len(words) - 4) :]
+            first = len(words) - 2
+    if len(a) and words:
+        total += matched(words, a, first, len(words))
+    return total, n
 
 
 def features(total: float, words: int) -> np.ndarray:
-    """What the curve sees: is there a match, how much, and how much for the length."""
+    """What the curve sees: a constant, the weights matched, and these for the text's length."""
     return np.array([1.0, np.log1p(total), np.log1p(100.0 * total / (words + 20.0))])
 
 
-def learn(texts: list, y: np.ndarray, max_terms: int = 2000, min_docs: int = 3) -> Lexicon:
+def learn(texts: list, y: np.ndarray, min_docs: int = 3) -> Lexicon:
     """Lexicon, exceptions and curve from labelled texts."""
     table = folding_table()
     folded = [fold(t or "", table) for t in texts]
@@ -132,8 +153,6 @@ def learn(texts: list, y: np.ndarray, max_terms: int = 2000, min_docs: int = 3)
         longer = not t.endswith(" ") and any(u.startswith(t) for u in kept)
         if not stem and not longer:
             kept[t] = weights[t]
-        if len(kept) >= max_terms:
-            break
     a = automaton(kept, {})
     # exceptions: a term and its neighbour that stand together in harmless texts again and again, in toxic ones never
     around, toxic_around = Counter(), set()
@@ -182,7 +201,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
 
 
 def score(spark: SparkSession, docs: DataFrame, lexicon: Lexicon | None) -> DataFrame:
-    """docs with a column `score`."""
+    """docs with a column `score`, which replaces one of docs."""
     if lexicon is None:
         return docs.withColumn("score", F.lit(0.0))
     sent = spark.sparkContext.broadcast(lexicon.state())
