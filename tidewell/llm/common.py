@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewell.sources.store import shared_folder
 
+#: Whether shuffle files go when the query that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,12 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation.
 
-    The shuffle files of what was written are then of no use; a garbage collection on the driver lets Spark delete them.
+    The shuffle files of what was written are then of no use: Spark is told to delete them when the write is done.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewell-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewell_path = path
     return out
