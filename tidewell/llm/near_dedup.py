@@ -262,3 +262,21 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # rows of an id that occurs once, as ids should, need no further look: dropDuplicates works on what is kept
     kept = rows.join(found, rows["d"].eqNullSafe(found["doc_id"]) & (rows["x"] == found["th"])).dropDuplicates(["d", "x"])
     return unpacked(kept, docs.columns)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS s FROM w
+), t AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS common
+  FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL
+), e AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (total - common)),
+links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, l.b FROM reach r JOIN links l ON r.u = l.a),
+c AS (SELECT v AS doc_id, min(u) AS component_id FROM reach GROUP BY v)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""

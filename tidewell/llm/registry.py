@@ -14,7 +14,7 @@ QUERIES = {
     "op9_suffix_array_dedup": substring_dedup.query,
     "op10_quality": quality.query,
 }
-SQL: dict[str, str] = {"op4_exact_top_k": topk.SQL}
+SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op4_exact_top_k": topk.SQL, "op8_minhash_near_dedup": near_dedup.SQL}
 
 
 def queries() -> dict:
