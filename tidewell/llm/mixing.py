@@ -86,7 +86,7 @@ def copies(docs: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3, share: flo
     named = items.join(by, items["source"].eqNullSafe(by["source"])).drop(by["source"])
     mass = (F.col("size") * F.col("part")).alias("mass")
     loose = named.where("size > 0 and part > 1e-9").select("source", "m", "rid", "k", F.col("size").cast("double").alias("size"), mass)
-    out = named.join(round_pairs(loose, bucket), "rid", "left")
+    out = named.join(round_pairs(loose, bucket).hint("merge"), "rid", "left")  # a row a document: not to be broadcast
     n = (F.col("whole") + F.coalesce("hit", F.lit(0))).cast("long")
     return out.select("doc_id", "source", "h", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
 
