@@ -333,3 +333,11 @@ def test_stack_and_rows(spark):
     assert sorted(r.a for r in both.collect()) == [1.0, 2.0, 4.0, 5.0]
     with pytest.raises(Exception):
         transform(df, Chain(Fan([Field(None, "a", DOUBLE)]), scalars.SplitToDict(["x", "y"])), "s").collect()
+
+
+def test_digest_tails_in_the_older_reading():
+    x = np.concatenate([np.random.default_rng(21).normal(10, 1, 5000), [-90.0, 300.0]])
+    d = digest.merge([digest.add(digest.Digest.empty(), p, 6.0) for p in np.split(x, 2)], 6.0)
+    assert len(d.means) <= 6 and d.weights.max() > 100
+    assert list(digest.cdf(d, [-91, -90, -50, 200, 300, 301], compat=True)) == [0, 0, 0, 1, 1, 1]
+    assert list(digest.cdf(d, [-91, 301])) == [0, 1]
