@@ -31,8 +31,8 @@ GRAM = 24
 BLOCK, SPAN = 1 << 20, 1024
 #: Stands for a null doc_id.
 LEAST = -(1 << 63)
-#: Bytes of spans that a suffix sort takes at once, about.
-BUCKET = 3_000_000
+#: Bytes of spans that a suffix sort takes at once, about; it needs some 80 times as many.
+BUCKET = 1_500_000
 
 
 def byte_table() -> np.ndarray:
