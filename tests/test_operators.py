@@ -325,6 +325,18 @@ def test_running_moments(spark):
     assert np.isclose(op.mean, x.mean()) and np.isclose(op.std, x.std(ddof=1)) and run.min_max().low == x.min()
 
 
+def test_running_moments_go_on_after_a_restart(spark, tmp_path):
+    x = np.random.default_rng(9).normal(3, 2, 60)
+    path = str(tmp_path / "moments")
+    for i, part in enumerate(np.split(x, 3)):
+        run = RunningMoments("x", path)
+        run.update(column(spark, part.tolist()), i)
+    again = RunningMoments("x", path)
+    again.update(column(spark, [1e9]), 2)
+    op = again.standard_score()
+    assert again.last == 2 and np.isclose(op.mean, x.mean()) and np.isclose(op.std, x.std(ddof=1))
+
+
 def test_stack_and_rows(spark):
     df = spark.createDataFrame([(1, 1.0, 4.0), (2, 2.0, 5.0)], "k int, a double, b double")
     out = scalars.stack_long(df, "k", ["a", "b"]).orderBy("position", "k").collect()
