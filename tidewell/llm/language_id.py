@@ -26,6 +26,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 FLUSH = 400_000
 #: Words that a scorer remembers beside the model's; words of a text, and of all texts, that it looks up at once.
 MEMO, PART, PARTS = 200_000, 20_000, 100_000
+#: Parts in which a language's words are ranked.
+SALTS = 32
 #: Texts scored together.
 TEXTS = 256
 
@@ -184,8 +186,11 @@ def fit(docs: DataFrame, max_words: int = 60_000, max_grams: int = 60_000) -> Wo
     counts = materialize(counts)
 
     def most(frame: DataFrame, key: str, bound: int) -> pd.DataFrame:
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
-        best = frame.withColumn("r", rank).where(F.col("r") <= bound).groupBy(key).agg(F.min("r").alias("r"))
+        # a language of any number of words is ranked in SALTS parts first; at most SALTS * bound rows of it go on
+        order, part = [F.desc("n"), F.col(key)], F.pmod(F.xxhash64(key), F.lit(SALTS))
+        some = frame.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("r") <= bound)
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+        best = some.withColumn("r", rank).where(F.col("r") <= bound).groupBy(key).agg(F.min("r").alias("r"))
         top = best.orderBy("r", key).limit(bound).select(key)  # `bound` words: a few MB whatever the input
         return frame.join(F.broadcast(top), key).select(key, "lang", "n").toPandas()
 
