@@ -1,5 +1,6 @@
 """Parts of the corpus operators against plain versions of themselves: borders of pieces, large groups, clashing names, empty tables."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import language_id, line_dedup, mixing, near_dedup, packing, quality, topk, toxicity
+from tidewell.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, packing, quality, topk, toxicity
 from tidewell.llm.common import id_mod
 
 
@@ -143,6 +144,20 @@ def test_language_parts_change_nothing(spark, monkeypatch):
     assert want[-3:] == [("und", 0.0)] * 3
 
 
+# fingerprints
+
+
+def test_next_documents_of_null_ids(spark):
+    rows = [(None, f"text {k}") for k in range(40)] + [(i, f"number {i}") for i in (3, 9, -5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted(docs.withColumn("h", F.xxhash64("text")).collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.h))
+    want = set()
+    for r, after in zip(order, order[1:] + order[:1]):
+        half = len(r.text) // 2
+        want.add((r.doc_id, hashlib.sha256((r.text[: len(r.text) - half] + after.text[:half]).encode()).hexdigest()))
+    assert {(r.doc_id, r.edited_sha256) for r in fingerprints.checked(docs).collect()} == want
+
+
 # lines
 
 

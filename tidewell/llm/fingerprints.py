@@ -48,7 +48,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     cell = F.greatest(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))), F.lit(1))
     low, high = F.get(bounds, F.col("cell") - 1), F.coalesce(F.get(bounds, F.col("cell")), F.get(bounds, F.col("cell") - 1) + 1)
     place = F.floor((F.col("doc_id") - low) / (high - low).cast("double") * parts)
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("cell").cast("long") * parts + F.least(F.greatest(place, F.lit(0)), F.lit(parts - 1)))
+    # null ids, which come last, are dealt by their texts' hashes, in order, to buckets below 0
+    bucket = F.when(F.col("doc_id").isNull(), F.shiftright("h", 52) - 4096).otherwise(F.col("cell").cast("long") * parts + F.least(F.greatest(place, F.lit(0)), F.lit(parts - 1)))
     rows = rows.withColumn("cell", cell).withColumn("bucket", bucket.cast("long")).drop("cell")
     heads = materialize(rows.groupBy("bucket").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("d"), F.col("h"))).alias("o")))
     # a row for each bucket; each takes the head of the next lower bucket, the last that of the first
