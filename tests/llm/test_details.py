@@ -161,11 +161,11 @@ def test_next_documents_of_null_ids(spark):
 # lines
 
 
-@pytest.mark.parametrize("group, few", [(2, 1), (3, 4), (64, 16)])
+@pytest.mark.parametrize("group, few", [(2, 0), (2, 30), (3, 120), (64, 1 << 22)])
 def test_lines_in_large_groups(spark, monkeypatch, group, few):
     """Families of near-copies of lines, mixed with lines that share their rare words only."""
     monkeypatch.setattr(line_dedup, "GROUP", group)
-    monkeypatch.setattr(line_dedup, "OPEN", few)
+    monkeypatch.setattr(line_dedup, "DIRECT", few)
     r = np.random.default_rng(group)
     lines = []
     for _ in range(3):

@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation.
 
-    The shuffle files of what was written are then of no use: Spark is told to delete them when the write is done.
+    The shuffle files of what was written are then of no use: Spark is told to delete them when the write is done. A
+    garbage collection keeps the driver, which makes many plans, from growing to its limit.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewell-{uuid.uuid4().hex}"
@@ -32,6 +33,7 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewell_path = path
     return out
