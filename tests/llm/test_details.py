@@ -232,3 +232,24 @@ def test_encoder_equals_the_tokenizer():
     texts = ["".join(r.choice(parts, r.integers(0, 14))) for _ in range(4000)] + ["", "x" * 5000, words(3, 3000)]
     want = [np.array(e.ids, "<u4").tobytes() for e in encode.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert encode(texts) == want and encode(texts[::-1]) == want[::-1]
+
+
+def test_lines_in_slices(spark, monkeypatch):
+    """Slices of keys find what one shuffle finds, whatever a slice holds, and each is written by itself."""
+    r = np.random.default_rng(5)
+    bases = [[f"w{k}" for k in r.integers(0, 90, 18)] for _ in range(12)]
+    lines = [" ".join(w if r.random() > 0.06 else f"w{r.integers(0, 90)}" for w in bases[i % 12]) for i in range(160)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(40)], "doc_id long, text string").repartition(3)
+    seen, want = [], 0
+    for line in lines:
+        s = set(line.split())
+        want += any(len(s & o) * 100 >= 80 * len(s | o) for o in seen)
+        seen.append(s)
+    monkeypatch.setattr(line_dedup, "GROUP", 6)
+    monkeypatch.setattr(line_dedup, "DIRECT", 40)
+    monkeypatch.setattr(line_dedup, "SLICE", 300)
+    monkeypatch.setattr(line_dedup, "SLICES", 2)
+    parts, write = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda *p: parts.append(len(p)) or write(*p))
+    assert line_dedup.dedup_lines(docs, 80, 1).agg(F.sum("n_removed")).first()[0] == want > 0
+    assert max(parts) == line_dedup.SLICES
