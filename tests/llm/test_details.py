@@ -253,3 +253,10 @@ def test_lines_in_slices(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "materialize", lambda *p: parts.append(len(p)) or write(*p))
     assert line_dedup.dedup_lines(docs, 80, 1).agg(F.sum("n_removed")).first()[0] == want > 0
     assert max(parts) == line_dedup.SLICES
+
+
+def test_sieve_keeps_every_key_and_little_else(spark):
+    keys = spark.range(0, 3000, 3)
+    left = {r.id for r in line_dedup.among(spark.range(3000), keys).collect()}
+    assert set(range(0, 3000, 3)) <= left and len(left) < 1100
+    assert line_dedup.among(spark.range(3000), keys.limit(0)).count() == 0
