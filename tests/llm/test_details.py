@@ -260,3 +260,11 @@ def test_sieve_keeps_every_key_and_little_else(spark):
     left = {r.id for r in line_dedup.among(spark.range(3000), keys).collect()}
     assert set(range(0, 3000, 3)) <= left and len(left) < 1100
     assert line_dedup.among(spark.range(3000), keys.limit(0)).count() == 0
+
+
+def test_plans_of_lines_hold_no_tables_as_text(spark):
+    docs = spark.createDataFrame([(i, words(i, 30)) for i in range(20)], "doc_id long, text string")
+    for df in (line_dedup.sets(docs, 80), line_dedup.among(spark.range(30), spark.range(3))):
+        plan = df._jdf.queryExecution()
+        assert len(plan.toString()) < 50_000
+        assert "AS classes" not in plan.executedPlan().toString()  # else each line's row would carry the whole table
