@@ -268,3 +268,27 @@ def test_plans_of_lines_hold_no_tables_as_text(spark):
         plan = df._jdf.queryExecution()
         assert len(plan.toString()) < 50_000
         assert "AS classes" not in plan.executedPlan().toString()  # else each line's row would carry the whole table
+
+
+def test_lines_leave_one_table_and_need_no_sieve(spark, monkeypatch):
+    """What is written on the way goes before the texts are joined; sieves that are too full change nothing."""
+    import os
+
+    from tidewell.sources.store import shared_folder
+
+    r = np.random.default_rng(8)
+    bases = [[f"w{k}" for k in r.integers(0, 60, 16)] for _ in range(8)]
+    lines = [" ".join(w if r.random() > 0.07 else f"w{r.integers(0, 60)}" for w in bases[i % 8]) for i in range(120)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(30)], "doc_id long, text string").repartition(3)
+    seen, want = [], 0
+    for line in lines:
+        s = set(line.split())
+        want += any(len(s & o) * 100 >= 80 * len(s | o) for o in seen)
+        seen.append(s)
+    monkeypatch.setattr(line_dedup, "GROUP", 6)
+    monkeypatch.setattr(line_dedup, "SIEVE", 8)
+    tables = lambda: {x for x in os.listdir(shared_folder(spark).removeprefix("file:")) if x.startswith("tidewell-")}
+    before = tables()
+    out = line_dedup.dedup_lines(docs, 80, 1)
+    assert len(tables() - before) == 1
+    assert out.agg(F.sum("n_removed")).first()[0] == want > 0
