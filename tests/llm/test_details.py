@@ -292,3 +292,27 @@ def test_lines_leave_one_table_and_need_no_sieve(spark, monkeypatch):
     out = line_dedup.dedup_lines(docs, 80, 1)
     assert len(tables() - before) == 1
     assert out.agg(F.sum("n_removed")).first()[0] == want > 0
+
+
+def test_lines_of_large_groups_are_compared_with_earlier_ones_only(spark, monkeypatch):
+    """Near misses of a large group's first line: an open line is compared with what is earlier, not with what is later."""
+    r = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(26)]
+    lines = [" ".join([*base[:3], *[w if r.random() > 0.07 else f"x{r.integers(0, 400)}" for w in base[3:]]]) for _ in range(120)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(30)], "doc_id long, text string").repartition(3)
+    seen, want = [], 0
+    for line in lines:
+        s = set(line.split())
+        want += any(len(s & o) * 100 >= 80 * len(s | o) for o in seen)
+        seen.append(s)
+    monkeypatch.setattr(line_dedup, "GROUP", 6)
+    asked, verify = [], line_dedup.verified
+
+    def told(docs, firsts, pairs, percent):
+        a, b = (firsts.select(F.col("id").alias(x), F.col("o").alias(f"o_{x}")) for x in "ab")
+        asked.append(pairs.join(a, "a").join(b, "b").select((F.col("o_b") < F.col("o_a")).alias("earlier")).collect())
+        return verify(docs, firsts, pairs, percent)
+
+    monkeypatch.setattr(line_dedup, "verified", told)
+    assert line_dedup.dedup_lines(docs, 80, 1).agg(F.sum("n_removed")).first()[0] == want > 0
+    assert len(asked) == 2 and asked[1] and all(q.earlier for q in asked[1])
