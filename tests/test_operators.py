@@ -353,3 +353,21 @@ def test_digest_tails_in_the_older_reading():
     assert len(d.means) <= 6 and d.weights.max() > 100
     assert list(digest.cdf(d, [-91, -90, -50, 200, 300, 301], compat=True)) == [0, 0, 0, 1, 1, 1]
     assert list(digest.cdf(d, [-91, 301])) == [0, 1]
+
+
+def test_compat_ranks_equal_the_sketch_of_single_values(spark, tmp_path):
+    r = np.random.default_rng(4)
+    for xs in ([*r.integers(-40, 40, 300) / 4, NAN, None, -0.0, 0.0], [2.5, 2.5, None], [7.0], [None, NAN]):
+        df = column(spark, [None if x is None else float(x) for x in xs])
+        op = digest.TDigestDistribution(1000.0, compat=True).fit(df, "x")
+        want = {q.i: q.y for q in df.select("i", op(F.col("x")).alias("y")).collect()}
+        got = {q.i: q.y for q in digest.compat_ranks(df, "x", "y").collect()}
+        assert got.keys() == want.keys()
+        assert all((got[i] is None) == (y is None) and (y is None or np.isclose(got[i], y, equal_nan=True)) for i, y in want.items()), xs
+
+
+def test_compat_rank_has_no_python_worker(spark, tmp_path):
+    """The sketch of single values was held whole by the driver, by a task that merged it and by each worker that read it."""
+    column(spark, [3.0, 1.0, 2.0]).select(F.col("i").cast("long").alias("event_id"), F.col("x").alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    plan = catalogue.queries()["cdf_compat_rank"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert not any(k in plan for k in ("Python", "Pandas", "Arrow"))

@@ -129,10 +129,9 @@ def robust_approx_ok(spark, d):
     "SELECT event_id, round(CASE WHEN value <= a THEN 0 WHEN value >= b THEN 1 ELSE (r - 1) / n::DOUBLE END, 6) AS y FROM e"
 )
 def cdf_compat_rank(spark, d):
-    """The older way of reading a digest, over every event. The SQL is that of single values, so the compression is the number of rows."""
-    df = read(spark, d, "events")
-    op = digest.TDigestDistribution(compression=max(1000.0, float(df.count())), compat=True).fit(df, "value")
-    return df.select("event_id", F.round(op(F.col("value")), 6).alias("y"))
+    """The older way of reading a digest, over every event. The SQL is that of single values, which are ranked and not sketched."""
+    df = read(spark, d, "events").select("event_id", "value")
+    return digest.compat_ranks(df, "value", "y").select("event_id", F.round("y", 6).alias("y"))
 
 
 @query("SELECT event_id, round(cume_dist() OVER (ORDER BY value), 6) AS y FROM events")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import ieee
 from tidewell.operators.base import DOUBLE
-from tidewell.operators.scalers import Estimator
+from tidewell.operators.scalers import Estimator, empirical_cdf
 
 KIND = "means array<double>, weights array<double>, low double, high double"
 
@@ -130,6 +130,16 @@ def sketch(df: DataFrame, x: Column | str, compression: float = 1000.0, fan_in:
     return merge([Digest(np.array(r["means"]), np.array(r["weights"]), r["low"], r["high"]) for r in out], c)
 
 
+def compat_ranks(df: DataFrame, x: str, out: str) -> DataFrame:
+    """df with what `TDigestDistribution(compression, compat=True)`, fitted on column x, says of x itself, where `compression`
+    is large enough to keep every value single: the share of smaller values, from exact ranks. No task holds all values."""
+    rows = df.withColumn("_v", F.when(~F.isnan(x), F.col(x).cast("double")))
+    of_nan = F.lit(0.0 if rows.where("_v IS NOT NULL").isEmpty() else None).cast("double")  # an Arrow worker's NaN is NULL
+    ranked = empirical_cdf(rows, "_v", "_at_most")
+    share = F.when(F.col("_all") == 1, 0.5).when(F.col("_below") + F.col("_n") == F.col("_all"), 1.0).otherwise(F.col("_below") / F.col("_all"))
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], F.when(F.isnan(x), of_nan).otherwise(share).alias(out))
+
+
 class TDigestDistribution(Estimator):
     """The share of fitted values below x, from a digest. Unfitted: 0."""
 
