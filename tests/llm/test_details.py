@@ -316,3 +316,23 @@ def test_lines_of_large_groups_are_compared_with_earlier_ones_only(spark, monkey
     monkeypatch.setattr(line_dedup, "verified", told)
     assert line_dedup.dedup_lines(docs, 80, 1).agg(F.sum("n_removed")).first()[0] == want > 0
     assert len(asked) == 2 and asked[1] and all(q.earlier for q in asked[1])
+
+
+def test_lines_keys_and_pairs_are_narrow(spark, monkeypatch):
+    """What is written and shuffled for pairs: 32 bits a key; two ids, one number and a count a pair."""
+    words = [f"w{i}" for i in range(40)]
+    docs = [(d, "\n".join(" ".join(words[d % 7 + k : d % 7 + k + 12] + [f"x{d}{k}"] * (d % 3)) for k in range(5))) for d in range(40)]
+    df, gone = spark.createDataFrame(docs, "doc_id long, text string"), 0
+    seen: list[set] = []
+    for _, text in docs:
+        for line in text.split("\n"):
+            s = set(line.split())
+            gone += any(5 * len(s & e) >= 4 * len(s | e) for e in seen)
+            seen.append(s)
+    every, pairs, times = line_dedup.sets(df, 80), [], line_dedup.times_met
+    assert every.schema["prefix"].dataType.simpleString() == "array<int>"
+    # the keys of a set are in order, in 32 bits too
+    assert all(list(r.prefix) == sorted(r.prefix) for r in every.collect())
+    monkeypatch.setattr(line_dedup, "times_met", lambda met: pairs.append(times(met)) or pairs[-1])
+    assert line_dedup.dedup_lines(df, 80, 1).agg(F.sum("n_removed")).first()[0] == gone > 0
+    assert pairs and all(p.columns == ["a", "b", "x", "m"] for p in pairs)
