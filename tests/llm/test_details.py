@@ -336,3 +336,15 @@ def test_lines_keys_and_pairs_are_narrow(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "times_met", lambda met: pairs.append(times(met)) or pairs[-1])
     assert line_dedup.dedup_lines(df, 80, 1).agg(F.sum("n_removed")).first()[0] == gone > 0
     assert pairs and all(p.columns == ["a", "b", "x", "m"] for p in pairs)
+
+
+def test_plain_words_need_no_lines(monkeypatch):
+    """Words of letters and digits, also with a mark behind, go past `atoms`; ids stay the tokenizer's."""
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        encode, asked = packing.Encoder(f.read()), []
+    atoms = encode.atoms
+    monkeypatch.setattr(encode, "atoms", lambda word: asked.append(word) or atoms(word))
+    texts = ["thus he said, 12 times: 3rd größe. x² ½ und٣ 漢字! don't a.b, end.\nNext line; ??", "", "a", ".", "mot, mot,"]
+    want = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encode(texts) == want
+    assert not {w.strip() for w in asked} & {"thus", "said,", "times:", "größe.", "a", "mot,", "漢字!"} and " end.\nNext" in asked

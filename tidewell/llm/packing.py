@@ -81,7 +81,9 @@ class Encoder:
     def learn(self, memo: dict, parts: list, before: str) -> None:
         new = list(set().union(*parts).difference(memo))
         known, mark = {}, self.newline[0]
-        split = [self.atoms(before + p) if len(self.newline) == 1 else [] for p in new]
+        # most words are letters and digits, or those and a mark: told without looking at their lines
+        plainly = lambda p: (before + p,) if p.isalnum() else (before + p[:-1], p[-1]) if p[-1:] in MARKS and p[:-1].isalnum() else self.atoms(before + p)
+        split = [plainly(p) if len(self.newline) == 1 else [] for p in new]
         # atoms are encoded many at once, with a line's end behind each
         plain = list(set().union(*split).difference("\n"))
         known["\n"] = np.array(self.newline, "<u4").tobytes()
@@ -91,7 +93,7 @@ class Encoder:
             raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == mark)).tolist()
             known.update(zip(part, [raw[i:j] for i, j in zip([0, *[e + 4 for e in ends]], ends)]))
         get = known.__getitem__
-        memo.update((p, b"".join(map(get, s))) for p, s in zip(new, split) if s)
+        memo.update((p, known[s[0]] if len(s) == 1 else b"".join(map(get, s))) for p, s in zip(new, split) if s)
         rest = [p for p, s in zip(new, split) if not s]
         memo.update(zip(rest, [i.tobytes() for i in self.ids([before + p for p in rest])]))
 
