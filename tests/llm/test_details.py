@@ -348,3 +348,16 @@ def test_plain_words_need_no_lines(monkeypatch):
     want = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encode(texts) == want
     assert not {w.strip() for w in asked} & {"thus", "said,", "times:", "größe.", "a", "mot,", "漢字!"} and " end.\nNext" in asked
+
+
+def test_plain_words_are_not_searched_for_pieces():
+    """Words of letters, and what marks and digits cut off of them, don't pass through the tokenizer's own split."""
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        encode = packing.Encoder(f.read())
+    text = "One thhareha&&& of. erälich%%% ab12, ÉÊCH!! one-two end"
+    odd = [text, text + " don't st.\nThe a\n\nb x\n y日本 ¼a", "", " ", "×÷ ªb a×b"]
+    want = [x.tobytes() for x in encode.ids(odd)]
+    asked, encode.ids = [], lambda texts, ids=encode.ids: (asked.extend(texts), ids(texts))[1]
+    assert encode([text]) == want[:1]
+    assert "".join(asked).strip() == "One"
+    assert encode(odd) == want

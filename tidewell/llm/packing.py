@@ -10,6 +10,7 @@ Defined results: a null or empty text is one piece of length 1, the end mark. Ro
 each for itself. An empty table gives no rows. Columns other than doc_id and text aren't read.
 """
 
+import json
 import re
 import sys
 import types
@@ -29,6 +30,16 @@ from tidewell.llm.common import materialize, table
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Marks that are pieces by themselves behind a letter or digit.
 MARKS = ".,;:!?"
+#: Letters in every version of Unicode that tokenizers know; words of them, and words that begin with them and go on with
+#: marks and digits, but no apostrophe, in which contractions begin; and the pieces of such words.
+LETTERS, MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+LETTERS_ONLY = re.compile(f"[{LETTERS}]+").fullmatch
+PLAIN = re.compile(rf"[{LETTERS}][{LETTERS}0-9{MARK}]*").fullmatch
+PLAIN_PIECES = re.compile(rf"[{LETTERS}]+|[0-9]+|[{MARK}]+").findall
+#: Byte-level BPE's characters for bytes, as the tokenizer's file format defines them. Fixed values.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = dict(zip([b for b in range(256) if b not in SHOWN], range(256, 512)))
+BLANK = chr(BYTES[32])
 #: Words whose ids a worker remembers.
 MEMO = 1_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,6 +51,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def shown(piece: str) -> str:
+    """The piece's UTF-8 bytes in byte-level BPE's characters."""
+    return piece.encode().decode("latin-1").translate(BYTES)
+
+
+def bare_model(spec: str) -> tuple:
+    """The tokenizer's model alone, for pieces in byte-level characters with blanks between them, and of each id whether its
+    token begins with a piece's blank. (None, None) for tokenizers that aren't plainly byte-level BPE with all 256 bytes."""
+    from tokenizers import Tokenizer
+
+    form = json.loads(spec)
+    split, model = form.get("pre_tokenizer") or {}, form["model"]
+    by_bytes = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    odd = form.get("normalizer") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    vocabulary = model["vocab"] if model.get("type") == "BPE" else {}
+    if not by_bytes or odd or not all(chr(BYTES.get(b, b)) in vocabulary for b in range(256)):
+        return None, None
+    begins = np.zeros(max(vocabulary.values()) + 1, bool)
+    begins[[k for token, k in vocabulary.items() if token.startswith(BLANK)]] = True
+    bare = {"pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+    return Tokenizer.from_str(json.dumps(form | bare)), begins
+
+
 class Encoder:
     """A text's ids as little-endian unsigned 32-bit integers. Each distinct word is encoded once and remembered.
 
@@ -57,6 +91,7 @@ class Encoder:
         self.find = regex.compile(SPLIT).findall
         self.odd = re.compile(r"\s \s|\s \Z").search
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.bare, self.begins = bare_model(spec)
         self.behind_blank: dict = {}
         self.alone: dict = {}
 
@@ -78,8 +113,28 @@ class Encoder:
                 out.append(line)
         return out
 
+    def learn_plain(self, memo: dict, new: set) -> list:
+        """Learns plain words, each behind a blank, without a search for pieces in the tokenizer; the other words are returned."""
+        whole, mixed, rest = [], [], []
+        for p in new:
+            (whole if p.isascii() and p.isalpha() or LETTERS_ONLY(p) else mixed if PLAIN(p) else rest).append(p)
+        cut = [PLAIN_PIECES(p) for p in mixed]
+        whole += {c[0] for c in cut}.difference(memo, whole)
+        for a in range(0, len(whole), 1024):
+            part = whole[a : a + 1024]
+            ids = np.array(self.bare.encode_batch_fast([BLANK + f" {BLANK}".join([p if p.isascii() else shown(p) for p in part])], add_special_tokens=False)[0].ids, "<u4")
+            starts = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            raw = ids.tobytes()
+            memo.update(zip(part, [raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)])], strict=True))
+        tails, tokenize = set().union(*[c[1:] for c in cut]).difference(self.alone), self.bare.model.tokenize
+        self.alone.update((t, array("I", [x.id for x in tokenize(shown(t))]).tobytes()) for t in tails)
+        alone = self.alone.__getitem__
+        memo.update((p, memo[c[0]] + b"".join(map(alone, c[1:]))) for p, c in zip(mixed, cut))
+        return rest
+
     def learn(self, memo: dict, parts: list, before: str) -> None:
-        new = list(set().union(*parts).difference(memo))
+        new = set().union(*parts).difference(memo)
+        new = self.learn_plain(memo, new) if before and self.bare else list(new)
         known, mark = {}, self.newline[0]
         # most words are letters and digits, or those and a mark: told without looking at their lines
         plainly = lambda p: (before + p,) if p.isalnum() else (before + p[:-1], p[-1]) if p[-1:] in MARKS and p[:-1].isalnum() else self.atoms(before + p)
