@@ -1,8 +1,11 @@
 """Parts of the corpus operators against plain versions of themselves: borders of pieces, large groups, clashing names, empty tables."""
 
+import gc
 import hashlib
 import math
+import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, packing, quality, topk, toxicity
-from tidewell.llm.common import id_mod
+from tidewell.llm.common import id_mod, materialize, relieve
 
 
 def words(seed, n, vocabulary=300):
@@ -361,3 +364,23 @@ def test_plain_words_are_not_searched_for_pieces():
     assert encode([text]) == want[:1]
     assert "".join(asked).strip() == "One"
     assert encode(odd) == want
+
+
+def test_materialize_gives_free_native_memory_back(spark):
+    """What the driver's JVM has freed outside its heap goes back to the system with the next table written."""
+    jvm = spark.sparkContext._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup"
+    mb = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open(status).read()))) // 1024
+    if not os.path.exists(status) or relieve(spark) is None:
+        pytest.skip("this system or its Java can't tell")
+    materialize(spark.range(1))  # what the first write of a session takes
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(3000)]
+    last = buffers[-1]  # noqa: F841 - holds the end of what malloc has
+    del buffers
+    gc.collect()
+    jvm.System.gc()
+    time.sleep(2)  # buffers are freed by a thread of their own
+    jvm.System.gc()
+    before = mb()
+    materialize(spark.range(1))
+    assert before - mb() > 100
