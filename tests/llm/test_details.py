@@ -265,6 +265,29 @@ def test_sieve_keeps_every_key_and_little_else(spark):
     assert line_dedup.among(spark.range(3000), keys.limit(0)).count() == 0
 
 
+def test_sieve_grows_with_its_keys(spark, monkeypatch):
+    """More keys than the least sieve can tell apart: it is made wider, up to WIDEST, and not given up."""
+    monkeypatch.setattr(line_dedup, "SIEVE", 256)
+    keys = spark.range(0, 9000, 3)
+    left = {r.id for r in line_dedup.among(spark.range(9000), keys).collect()}
+    assert set(range(0, 9000, 3)) <= left and len(left) < 5400
+
+
+def test_sets_that_come_once_are_not_shuffled(spark, monkeypatch):
+    """Of the lines only those whose set comes again, and few more, are joined to find the first of their set."""
+    docs = [(d, "\n".join(words(40 * d + k, 12) if k else "one line that all of the documents have" for k in range(20))) for d in range(40)]
+    df, rows, cut = spark.createDataFrame(docs, "doc_id long, text string"), [], line_dedup.sliced
+
+    def told(df, k, key="w"):
+        if key == "s1" and "prefix" in df.columns:
+            rows.append(df.count())
+        return cut(df, k, key)
+
+    monkeypatch.setattr(line_dedup, "sliced", told)
+    assert line_dedup.dedup_lines(df, 80, 1).agg(F.sum("n_removed")).first()[0] >= 39
+    assert len(rows) == 1 and 40 <= rows[0] < 100
+
+
 def test_plans_of_lines_hold_no_tables_as_text(spark):
     docs = spark.createDataFrame([(i, words(i, 30)) for i in range(20)], "doc_id long, text string")
     for df in (line_dedup.sets(docs, 80), line_dedup.among(spark.range(30), spark.range(3))):
